@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
+import random
+from dataclasses import dataclass
+from typing import Any
+
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import metrics
+from .space import HyperparameterSpace
 
 
 def stack(train: DataFrame, validation: DataFrame | None = None, test: DataFrame | None = None) -> DataFrame:
@@ -11,3 +22,91 @@ def stack(train: DataFrame, validation: DataFrame | None = None, test: DataFrame
     for more in (validation, test):
         out = out if more is None else out.unionByName(more)
     return out
+
+
+@dataclass(frozen=True)
+class Tuned:
+    """The final model with the best parameters, their test score, and every trial."""
+
+    model: Any
+    params: dict[str, Any]
+    score: float
+    trials: list[tuple[dict[str, Any], float]]
+
+    def importances(self, features: list[str]) -> dict[str, float]:
+        return dict(zip(features, map(float, self.model.featureImportances.toArray()), strict=True))
+
+
+def _search(kind: str, make, score, better, train, test, validation, features, label, space, n_trials, final_fit_data, seed) -> Tuned:
+    if final_fit_data not in ("train", "train_val", "train_val_test"):
+        raise ValueError(f"unknown final_fit_data {final_fit_data!r}")
+    if validation is None and final_fit_data != "train":
+        raise ValueError("there is no validation table to fit the final model on")
+    space = (space or HyperparameterSpace.default(kind))
+    if space.kind != kind:
+        raise ValueError(f"the space is for a {space.kind}, the model is a {kind}")
+    space = space.with_defaults()
+    together = VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="keep")
+    ready = lambda df, held: together.transform(df.select(*features, F.col(label).cast("double").alias(label))).select("_features", label, F.lit(held).alias("_held"))
+    fitted_on = ready(train, False) if validation is None else ready(train, False).unionByName(ready(validation, True))
+    fitted_on, scored_on = fitted_on.persist(), ready(test, False).persist()
+    rng, trials = random.Random(seed), []
+    try:
+        for _ in range(n_trials):
+            params = space.suggest(rng)
+            model = make(params, validation is not None).fit(fitted_on)
+            trials.append((params, score(model.transform(scored_on)), getattr(model, "getNumTrees", None)))
+        best = (max if better else min)(trials, key=lambda t: t[1])
+        params = dict(best[0])
+        if best[2]:
+            params["maxIter"] = int(best[2])
+        parts = {"train": (train,), "train_val": (train, validation), "train_val_test": (train, validation, test)}[final_fit_data]
+        final = make(params, False).fit(ready(stack(*parts), False))
+    finally:
+        fitted_on.unpersist()
+        scored_on.unpersist()
+    return Tuned(final, params, best[1], [t[:2] for t in trials])
+
+
+def fit_gbt_regressor(train: DataFrame, test: DataFrame, features: list[str], label: str, validation: DataFrame | None = None, space: HyperparameterSpace | None = None,
+                      n_trials: int = 100, metric: str = "rmse", final_fit_data: str = "train", seed: int = 42) -> Tuned:
+    """Random search: trials are fitted on train, stopped early by validation, scored on test; the best
+    parameters are fitted again on ``final_fit_data``."""
+    if metric not in metrics.REGRESSION:
+        raise ValueError(f"unknown metric {metric!r}")
+
+    def make(params, held):
+        model = GBTRegressor(featuresCol="_features", labelCol=label, seed=seed, **params)
+        return model.setValidationIndicatorCol("_held") if held else model
+
+    def score(df):
+        return metrics.regression_metrics(df, label, "prediction").first()[metric]
+
+    return _search("regressor", make, score, metrics.REGRESSION[metric], train, test, validation, features, label, space, n_trials, final_fit_data, seed)
+
+
+def fit_gbt_classifier(train: DataFrame, test: DataFrame, features: list[str], label: str, validation: DataFrame | None = None, space: HyperparameterSpace | None = None,
+                       n_trials: int = 100, metric: str = "f1", final_fit_data: str = "train", seed: int = 42) -> Tuned:
+    """As for regressors. Labels are 0..k-1; more than two classes get a random forest, which Spark ML
+    boosts for two only."""
+    if metric not in ("accuracy", "precision", "recall", "f1"):
+        raise ValueError(f"unknown metric {metric!r}")
+    classes = train.agg(F.count_distinct(label)).first()[0]
+
+    def make(params, held):
+        if classes > 2:
+            used = {k: v for k, v in params.items() if k not in ("maxIter", "stepSize")}
+            return RandomForestClassifier(featuresCol="_features", labelCol=label, seed=seed, numTrees=params["maxIter"], **used)
+        model = GBTClassifier(featuresCol="_features", labelCol=label, seed=seed, **params)
+        return model.setValidationIndicatorCol("_held") if held else model
+
+    def score(df):
+        return metrics.classification_metrics(df, label, "prediction", positive=1.0 if classes == 2 else None).first()[metric]
+
+    return _search("classifier", make, score, True, train, test, validation, features, label, space, n_trials, final_fit_data, seed)
+
+
+def learning_curve(model, df: DataFrame, features: list[str], label: str) -> list[float]:
+    """The loss after each boosting round."""
+    ready = VectorAssembler(inputCols=features, outputCol="_features").transform(df.withColumn(label, F.col(label).cast("double")))
+    return list(model.evaluateEachIteration(ready, "squared") if "Regression" in type(model).__name__ else model.evaluateEachIteration(ready))
