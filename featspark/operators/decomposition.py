@@ -84,11 +84,11 @@ def decompose(df: DataFrame, periods: Sequence[int], ts: str = "ts", val: str =
     A series is decomposed in one task, as each local fit needs its neighbours on both sides."""
     names = ["trend", *[f"seasonal_{p}" for p in sorted(set(periods))], "remainder"]
     keyed = df.select(*keys, F.col(ts).alias("ts"), F.col(val).cast("double").alias("val"))
-    by = list(keys) or [F.lit(0)]
 
     def work(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("ts")
+        part = part.drop(columns="_series", errors="ignore").sort_values("ts")
         return part.assign(**mstl(part["val"].to_numpy(), periods, robust))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema)
-    return keyed.groupBy(*by).applyInPandas(work, f"{fields}, {', '.join(f'{n} double' for n in names)}")
+    grouped = keyed.groupBy(*keys) if keys else keyed.withColumn("_series", F.lit(0)).groupBy("_series")
+    return grouped.applyInPandas(work, f"{fields}, {', '.join(f'{n} double' for n in names)}")

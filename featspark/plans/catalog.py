@@ -37,6 +37,11 @@ def daily(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "orders").groupBy(F.col("o_orderdate").alias("ts")).agg(F.round(F.sum("o_totalprice"), 2).alias("val"))
 
 
+def roots(spark: SparkSession, d: str) -> DataFrame:
+    """Square roots of the daily series: means of these have no ties that two engines might round apart."""
+    return daily(spark, d).withColumn("val", F.sqrt("val"))
+
+
 def events(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").select("ts", F.col("value").alias("val"))
 
@@ -76,6 +81,7 @@ def predicted(spark: SparkSession, d: str) -> DataFrame:
 
 
 SD = "SELECT o_orderdate AS ts, round(sum(o_totalprice), 2) AS val FROM orders GROUP BY 1"
+SR = f"SELECT ts, sqrt(val) AS val FROM ({SD})"
 EV = "SELECT ts, value AS val FROM events"
 SH = "SELECT date_trunc('hour', ts) AS ts, round(avg(value), 6) AS val FROM events GROUP BY 1"
 LI = ("SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 11 = 0 THEN NULL WHEN l_orderkey % 13 = 0 THEN NULL ELSE l_extendedprice END AS x, "
@@ -148,18 +154,18 @@ def ts_lag_ratios(spark, d):
 def rolling_sql(base: str, window: str, name: str, stats, op: str, cutoff: str) -> str:
     made = {"mean": "avg(val)", "std": "stddev_samp(val)", "min": "min(val)", "max": "max(val)", "median": "median(val)"}
     cols = [f"roll_{s}_{name}" for s in stats]
-    r = ", ".join(f"round({made[s]} OVER w, 4) AS {c}" for s, c in zip(stats, cols, strict=True))
+    r = ", ".join(f"round({made[s]} OVER w, 6) AS {c}" for s, c in zip(stats, cols, strict=True))
     return (f"WITH s AS ({base}), r AS (SELECT ts, {r} FROM s WINDOW w AS (ORDER BY ts RANGE BETWEEN {window} - INTERVAL 1 MICROSECOND PRECEDING AND CURRENT ROW)), "
-            f"l AS (SELECT *, ts{cutoff} AS c FROM s) SELECT l.ts, l.val, {', '.join(f'r.{c}' for c in cols)} FROM l ASOF LEFT JOIN r ON l.c {op} r.ts")
+            f"l AS (SELECT *, ts{cutoff} AS c FROM s) SELECT l.ts, round(l.val, 6) AS val, {', '.join(f'r.{c}' for c in cols)} FROM l ASOF LEFT JOIN r ON l.c {op} r.ts")
 
 
-def _rolled(spark, series: DataFrame, window: str, stats, horizon: str | None = None, digits: int = 4) -> DataFrame:
-    return rounded(TimeseriesFeatures(horizon).rolling(series, [window], stats), *[f"roll_{s}_{window}" for s in stats], digits=digits)
+def _rolled(spark, series: DataFrame, window: str, stats, horizon: str | None = None) -> DataFrame:
+    return rounded(TimeseriesFeatures(horizon).rolling(series, [window], stats), "val", *[f"roll_{s}_{window}" for s in stats])
 
 
-@query(rolling_sql(SD, "INTERVAL 7 DAY", "7d", ("mean", "std"), ">", ""))
+@query(rolling_sql(SR, "INTERVAL 7 DAY", "7d", ("mean", "std"), ">", ""))
 def ts_rolling_mean_std(spark, d):
-    return _rolled(spark, daily(spark, d), "7d", ("mean", "std"))
+    return _rolled(spark, roots(spark, d), "7d", ("mean", "std"))
 
 
 @query(rolling_sql(EV, "INTERVAL 3 HOUR", "3h", ("min", "max"), ">", ""))
@@ -167,20 +173,20 @@ def ts_rolling_min_max(spark, d):
     return _rolled(spark, events(spark, d), "3h", ("min", "max"))
 
 
-@query(rolling_sql(SD, "INTERVAL 14 DAY", "14d", ("median",), ">", ""))
+@query(rolling_sql(SR, "INTERVAL 14 DAY", "14d", ("median",), ">", ""))
 def ts_rolling_median(spark, d):
-    return _rolled(spark, daily(spark, d), "14d", ("median",))
+    return _rolled(spark, roots(spark, d), "14d", ("median",))
 
 
-@query(rolling_sql(SD, "INTERVAL 30 DAY", "30d", STATS, ">=", " - INTERVAL 3 DAY"))
+@query(rolling_sql(SR, "INTERVAL 30 DAY", "30d", STATS, ">=", " - INTERVAL 3 DAY"))
 def ts_rolling_horizon(spark, d):
-    return _rolled(spark, daily(spark, d), "30d", STATS, "3d")
+    return _rolled(spark, roots(spark, d), "30d", STATS, "3d")
 
 
-@query(f"""WITH s AS (SELECT ts, sqrt(val) AS val FROM ({SD})), r AS (SELECT a.ts, round(avg(b.val), 6) AS m, round(stddev_samp(b.val), 6) AS sd FROM s a JOIN s b ON b.ts <= a.ts AND b.ts > a.ts - INTERVAL 2 MONTH GROUP BY 1)
+@query(f"""WITH s AS ({SR}), r AS (SELECT a.ts, round(avg(b.val), 6) AS m, round(stddev_samp(b.val), 6) AS sd FROM s a JOIN s b ON b.ts <= a.ts AND b.ts > a.ts - INTERVAL 2 MONTH GROUP BY 1)
 SELECT s.ts, round(s.val, 6) AS val, r.m AS roll_mean_2mo, r.sd AS roll_std_2mo FROM s ASOF LEFT JOIN r ON s.ts > r.ts""")
 def ts_rolling_calendar(spark, d):
-    return rounded(_rolled(spark, daily(spark, d).withColumn("val", F.sqrt("val")), "2mo", ("mean", "std"), digits=6), "val")
+    return _rolled(spark, roots(spark, d), "2mo", ("mean", "std"))
 
 
 @query(f"""WITH RECURSIVE s AS (SELECT ts, val, row_number() OVER (ORDER BY ts) AS i FROM ({SD})),
@@ -587,10 +593,10 @@ def resample_interpolate(spark, d):
     return rounded(plotdata.resample(daily(spark, d)), "val", digits=4)
 
 
-@query(f"""WITH s AS ({SD}) SELECT ts, round(CASE WHEN ts >= (SELECT min(ts) FROM s) + INTERVAL 28 DAY THEN avg(val) OVER w END, 4) AS mean, round(CASE WHEN ts >= (SELECT min(ts) FROM s) + INTERVAL 28 DAY THEN stddev_samp(val) OVER w END, 4) AS std
+@query(f"""WITH s AS ({SR}) SELECT ts, round(CASE WHEN ts >= (SELECT min(ts) FROM s) + INTERVAL 28 DAY THEN avg(val) OVER w END, 6) AS mean, round(CASE WHEN ts >= (SELECT min(ts) FROM s) + INTERVAL 28 DAY THEN stddev_samp(val) OVER w END, 6) AS std
 FROM s WINDOW w AS (ORDER BY ts RANGE BETWEEN INTERVAL 28 DAY - INTERVAL 1 MICROSECOND PRECEDING AND CURRENT ROW)""")
 def rolling_stats_warm(spark, d):
-    return rounded(plotdata.rolling_stats(daily(spark, d), "28d"), "mean", "std", digits=4)
+    return rounded(plotdata.rolling_stats(roots(spark, d), "28d"), "mean", "std")
 
 
 @query("""SELECT user_id, ts, CASE WHEN count(*) OVER w = 5 THEN round(avg(value) OVER w, 6) END AS mean, CASE WHEN count(*) OVER w = 5 THEN round(stddev_samp(value) OVER w, 6) END AS std
