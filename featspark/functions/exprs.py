@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,10 +45,26 @@ def bin_code(c: Column, edges: list[float]) -> Column:
     return F.when(c.isNotNull(), code.cast("int"))
 
 
-def average_rank(c: str, partition: list[str] = ()) -> Column:
-    """Rank from 1, ties sharing their mean. Without ``partition`` all rows meet in one task."""
-    by = Window.partitionBy(*partition)
-    return F.rank().over(by.orderBy(c)) + (F.count("*").over(Window.partitionBy(*partition, c)) - 1) / F.lit(2.0)
+#: Slices of a column's values for ranking.
+SLICES = 256
+
+
+def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` without nulls as ranks from 1, ties sharing their mean. Distinct values are counted,
+    cut into slices at approximate quantiles and summed inside slices and over them: no task sorts a column."""
+    cuts = df.agg(*[F.percentile_approx(c, [k / SLICES for k in range(1, SLICES)], 10_000).alias(c) for c in columns]).first()
+    for c in columns:
+        splits = [-float("inf"), *sorted(set(cuts[c] or [])), float("inf")]
+        counted = df.groupBy(F.col(c).alias("_v")).agg(F.count("*").alias("_n"))
+        sliced = Bucketizer(splits=splits, inputCol="_v", outputCol="_s").transform(counted) if len(splits) > 2 else counted.withColumn("_s", F.lit(0.0))
+        totals = sliced.groupBy("_s").agg(F.sum("_n").alias("_t"))
+        before = F.coalesce(F.sum("_t").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        totals = totals.select(F.col("_s").alias("_s2"), before.alias("_b"))
+        inside = F.coalesce(F.sum("_n").over(Window.partitionBy("_s").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        ranks = sliced.join(F.broadcast(totals), F.col("_s") == F.col("_s2"))  # SLICES rows
+        ranks = ranks.select("_v", (F.col("_b") + inside + (F.col("_n") + 1) / F.lit(2.0)).alias("_rank"))
+        df = df.join(ranks, F.col(c) == F.col("_v")).withColumn(c, F.col("_rank")).drop("_v", "_rank")
+    return df
 
 
 def numeric_columns(df: DataFrame) -> list[str]:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import as_double, bin_code
+from ..functions.quantiles import exact_quantiles
 
 #: Up to this many categories a lookup is a literal map; larger tables are joined.
 LITERAL = 1000
@@ -66,8 +67,8 @@ class EncodingFeatures:
                 quantiles[c] = [float(q) for q in n]
             if any(not 0 <= q <= 1 for q in quantiles[c]):
                 raise ValueError("quantiles are between 0 and 1")
-        got = df.agg(*[F.percentile(as_double(c), F.array(*map(F.lit, q))).alias(c) for c, q in quantiles.items()]).first()
-        return {c: sorted(set(got[c] or [])) for c in quantiles}
+        got = exact_quantiles(df.select(*[as_double(c).alias(c) for c in quantiles]), quantiles)
+        return {c: sorted({e for e in got[c] if e is not None}) for c in quantiles}
 
     def _learn_rates(self, df: DataFrame, columns: Sequence[str]) -> None:
         label = _text(self.target)

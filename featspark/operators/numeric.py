@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import as_double, numeric_columns, signed_log1p, yeo_johnson
+from ..functions.quantiles import exact_quantiles
 
 IMPUTERS = ("median", "mean", "zero")
 SCALERS = ("standard", "minmax", "robust")
@@ -56,8 +57,7 @@ class NumericFeatures:
             self.fills = self._learn_fills(now, impute)
             now = self.impute(now)
         if clip is not None:
-            got = _row(now, {c: F.percentile(c, F.array(F.lit(low), F.lit(high))) for c in clip})
-            self.bounds = {c: tuple(got[c]) if got[c] else (None, None) for c in clip}
+            self.bounds = {c: tuple(q) for c, q in exact_quantiles(now, {c: (low, high) for c in clip}).items()}
             now = self.clip(now)
         if auto_log is not None:
             got = _row(now, {f"{k}{c}": f(c) for c in auto_log for k, f in (("s", F.skewness), ("m", F.min))})
@@ -72,17 +72,15 @@ class NumericFeatures:
         return self
 
     def _learn_fills(self, df: DataFrame, impute) -> dict[str, float]:
-        made = {c: F.median(c) if m == "median" else F.avg(c) for m, columns in impute.items() if m != "zero" for c in columns}
-        got = _row(df, made)
+        got = _row(df, {c: F.avg(c) for c in impute.get("mean", ())})
+        got |= {c: q[0] for c, q in exact_quantiles(df, {c: (0.5,) for c in impute.get("median", ())}).items()}
         return {c: float(got[c]) if got.get(c) is not None else 0.0 for columns in impute.values() for c in columns}
 
     def _learn_scales(self, df: DataFrame, scale) -> dict[str, tuple[float, float]]:
-        made = {}
-        for method, columns in scale.items():
-            for c in columns:
-                made[c] = {"standard": F.array(F.avg(c), F.stddev_samp(c)), "minmax": F.array(F.min(c), F.max(c) - F.min(c)),
-                           "robust": F.percentile(c, F.array(F.lit(0.5), F.lit(0.25), F.lit(0.75)))}[method]
+        made = {c: F.array(F.avg(c), F.stddev_samp(c)) for c in scale.get("standard", ())}
+        made |= {c: F.array(F.min(c), F.max(c) - F.min(c)) for c in scale.get("minmax", ())}
         got, out = _row(df, made), {}
+        got |= exact_quantiles(df, {c: (0.5, 0.25, 0.75) for c in scale.get("robust", ())})
         for method, columns in scale.items():
             for c in columns:
                 v = got[c] or [None, None, None]

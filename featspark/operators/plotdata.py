@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.exprs import as_double, average_rank, bin_code, micros, numeric_columns
+from ..functions.exprs import as_double, average_ranks, bin_code, micros, numeric_columns
+from ..functions.quantiles import exact_quantiles
 
 MISSING = "(null)"
 
@@ -28,7 +29,7 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None, method: st
         raise ValueError("at least two numeric columns")
     rows = df.select(*[as_double(c).alias(c) for c in names])
     if method == "spearman":
-        rows = rows.dropna().select(*[average_rank(c).alias(c) for c in names])
+        rows = average_ranks(rows.dropna(), names)
     elif method != "pearson":
         raise ValueError(f"unknown method {method!r}")
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
@@ -62,8 +63,8 @@ def category_counts(df: DataFrame, column: str, top_k: int = 10) -> DataFrame:
 
 def quantile_edges(df: DataFrame, column: str, n_bins: int) -> list[float]:
     """Inner edges of bins that hold alike many rows; equal ones merged."""
-    got = df.agg(F.percentile(as_double(column), F.array(*[F.lit(k / n_bins) for k in range(1, n_bins)]))).first()[0] if n_bins > 1 else None
-    return sorted(set(got or []))
+    got = exact_quantiles(df.select(as_double(column).alias("x")), {"x": [k / n_bins for k in range(1, n_bins)]})
+    return sorted({e for e in got["x"] if e is not None})
 
 
 def feature_target(df: DataFrame, feature: str, target: str, n_bins: int = 10, top_k: int = 10) -> DataFrame:
@@ -97,7 +98,7 @@ def panel_values(df: DataFrame, column: str, by: str | None = None, log: bool =
     if log:
         rows = rows.where("x > 0")
     if clip:
-        low, high = rows.agg(F.percentile("x", F.array(*map(F.lit, map(float, clip))))).first()[0] or (None, None)
+        low, high = exact_quantiles(rows, {"x": clip})["x"]
         rows = rows.where(F.col("x").between(low, high)) if low is not None else rows
     return rows
 
@@ -334,7 +335,7 @@ def residual_summary(df: DataFrame, y: str = "y_true", p: str = "y_pred") -> Dat
 def forecast_breaks(df: DataFrame, ts: str = "ts") -> DataFrame:
     """ts, starts: whether a line over time breaks before the point, its step being over twice the median."""
     steps = _steps(df, ts).withColumn("_s", micros(F.col("ts")) - micros(F.col("before")))
-    middle = steps.agg(F.median("_s")).first()[0]
+    middle = exact_quantiles(steps.select(F.col("_s").cast("double").alias("s")), {"s": [0.5]})["s"][0]
     return steps.select("ts", F.coalesce(F.col("_s") > 2 * F.lit(middle), F.lit(False)).alias("starts"))
 
 

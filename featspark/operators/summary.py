@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.exprs import as_double
+from ..functions.quantiles import exact_quantiles
 
 SCHEMA = ("column string, dtype string, count long, null_pct double, n_unique long, mean double, std double, min double, p25 double, "
           "median double, p75 double, max double, skew double, zeros_pct double")
@@ -28,18 +30,22 @@ def summarize(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
         made = [F.count("*").alias("rows")]
         for k, c in enumerate(part):
             col = F.col(f"`{c}`")
-            made += [F.count(col).alias(f"n{k}"), (F.count_distinct(col) + F.max(col.isNull().cast("int"))).alias(f"u{k}")]
+            made += [F.count(col).alias(f"n{k}")]
             if isinstance(df.schema[c].dataType, T.NumericType):
                 x = as_double(col)
-                made += [F.avg(x).alias(f"mean{k}"), F.stddev_samp(x).alias(f"std{k}"), F.skewness(x).alias(f"skew{k}"), F.min(x).alias(f"min{k}"), F.max(x).alias(f"max{k}"),
-                         F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{k}"), F.count(x).alias(f"c{k}"), F.count_if(x == 0).alias(f"z{k}")]
+                made += [F.avg(x).alias(f"mean{k}"), F.stddev_samp(x).alias(f"std{k}"), F.skewness(x).alias(f"skew{k}"), F.min(x).alias(f"min{k}"), F.max(x).alias(f"max{k}"), F.count(x).alias(f"c{k}"), F.count_if(x == 0).alias(f"z{k}")]
         got = df.agg(*made).first()
+        numbers = [c for c in part if isinstance(df.schema[c].dataType, T.NumericType)]
+        middle = exact_quantiles(df.select(*[as_double(F.col(f"`{c}`")).alias(c) for c in numbers]), {c: (0.25, 0.5, 0.75) for c in numbers})
+        # each count reads one column and keeps one set; several in one aggregate would copy every row for each
+        each = [df.select(F.col(f"`{c}`").alias("v")).distinct().agg(F.count("*").alias("u")).select(F.lit(c).alias("c"), "u") for c in part]
+        distinct = {r["c"]: r["u"] for r in reduce(DataFrame.unionAll, each).collect()}
         for k, c in enumerate(part):
             kind = df.schema[c].dataType
             total, n = got["rows"], got[f"n{k}"]
-            row = [c, kind.simpleString(), n, 100.0 * (total - n) / total if total else 0.0, got[f"u{k}"] or 0]
+            row = [c, kind.simpleString(), n, 100.0 * (total - n) / total if total else 0.0, distinct[c]]
             if isinstance(kind, T.NumericType):
-                q = got[f"q{k}"] or [None] * 3
+                q = middle[c]
                 zeros = 100.0 * got[f"z{k}"] / got[f"c{k}"] if got[f"c{k}"] else None
                 row += [got[f"mean{k}"], got[f"std{k}"], got[f"min{k}"], q[0], q[1], q[2], got[f"max{k}"], got[f"skew{k}"], zeros]
             else:

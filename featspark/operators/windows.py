@@ -114,10 +114,16 @@ def _of_array(stat: str, a: Column) -> Column:
 
 def range_lags(df: DataFrame, ts: str, val: str, lags: dict[str, Duration], keys: Sequence[str] = (), bucket: int = 30 * DAY) -> DataFrame:
     """``df`` with, for each lag, the value at exactly ts less the lag, null if no row is there. Times
-    are unique; rows with a null time have null lags. One shuffle and one sort serve all lags."""
+    are unique; rows with a null time have null lags. One shuffle and one sort serve all lags of up to
+    two buckets; longer ones, whose halos would make few and large buckets, are joined by time."""
+    far = {name: d for name, d in lags.items() if reach_of(d) > 2 * bucket}
+    if far:
+        near = {name: d for name, d in lags.items() if name not in far}
+        out = range_lags(df, ts, val, near, keys, bucket) if near else df
+        return _joined_lags(out, df, ts, val, far, keys).select(*[F.col(f"`{c}`") for c in df.columns], *lags)
     longest = max(map(reach_of, lags.values()))
     known = df.where(F.col(ts).isNotNull())
-    spread, part = with_halo(known.withColumn("_us", micros(F.col(ts))), "_us", longest, keys, max(bucket, 2 * longest))
+    spread, part = with_halo(known.withColumn("_us", micros(F.col(ts))), "_us", longest, keys, max(bucket, longest))
     over = ", ".join(f"`{p}`" for p in part)
     made = []
     for name, d in lags.items():
@@ -132,6 +138,17 @@ def range_lags(df: DataFrame, ts: str, val: str, lags: dict[str, Duration], keys
     return out.unionByName(unknown)
 
 
+def _joined_lags(out: DataFrame, df: DataFrame, ts: str, val: str, lags: dict[str, Duration], keys: Sequence[str]) -> DataFrame:
+    values = df.where(F.col(ts).isNotNull()).groupBy(*keys, ts).agg(F.first(val).alias("_value"))
+    for name, d in lags.items():
+        there = values.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(ts).alias("_at"), F.col("_value").alias(name))
+        on = (F.col(ts) - d.interval()) == F.col("_at")
+        for i, k in enumerate(keys):
+            on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        out = out.join(there, on, "left").drop("_at", *[f"_k{i}" for i in range(len(keys))])
+    return out
+
+
 #: Half-lives in a block of an exponential mean; what lies two blocks back weighs under 2**-400.
 BLOCK_LIVES = 400
 

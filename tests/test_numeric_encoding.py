@@ -6,6 +6,7 @@ import pytest
 from pyspark.errors import PySparkException
 
 from featspark import EncodingFeatures, NumericFeatures, signed_log1p, summarize
+from featspark.functions.quantiles import exact_quantiles
 from featspark.plans.inspect import unwanted
 
 
@@ -88,6 +89,16 @@ def test_pipeline_and_errors(spark):
         NumericFeatures().fit(spark.createDataFrame([("a",)], "s string"), clip=["s"])
 
 
+def test_quantiles_of_large_columns(spark):
+    rng = np.random.default_rng(7)
+    for xs in (rng.normal(size=4000), np.exp(rng.normal(size=3000) * 20), np.repeat([1.0, 2.0, 5.0], 1000), np.r_[np.zeros(2000), rng.normal(size=1001)], [4.0]):
+        df = column(spark, xs)
+        qs = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
+        got = exact_quantiles(df, {"x": qs}, small=0, left=50)["x"]
+        assert np.allclose(got, np.quantile(xs, qs), rtol=1e-12)
+    assert exact_quantiles(column(spark, [None]), {"x": [0.5]}, small=0) == {"x": [None]}
+
+
 CITY = "i int, city string, y int"
 
 
