@@ -53,3 +53,17 @@ def unused(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+#: Most rows and bytes of a batch between the JVM and Python: documents can be long.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+
+
+def map_arrow(df: DataFrame, work, schema) -> DataFrame:
+    """``mapInArrow`` in batches that stay small whatever the rows hold; a smaller setting of the session stays."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(key)
+        if not (now.isdigit() and 0 < int(now) <= most):
+            conf.set(key, str(most))
+    return df.mapInArrow(work, schema)

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import map_arrow
 from .template import compile_template
 
 # The control strings and the template that writes them.
@@ -95,7 +96,7 @@ def format_chats(turns: DataFrame, template: str = TEMPLATE) -> DataFrame:
         if ready:
             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in ready], schema)
 
-    return rows.mapInArrow(run, "conv_id long, formatted string, spans array<array<int>>")
+    return map_arrow(rows, run, "conv_id long, formatted string, spans array<array<int>>")
 
 
 def chat_digest(formatted: DataFrame) -> DataFrame:
@@ -113,5 +114,5 @@ def chat_digest(formatted: DataFrame) -> DataFrame:
                 rows.append((conv, len(turns), sha256(told.encode()).hexdigest(), len(loss), sha256(loss.encode()).hexdigest(), len(text)))
             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
 
-    return formatted.select("conv_id", "formatted", "spans").mapInArrow(
-        run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return map_arrow(
+        formatted.select("conv_id", "formatted", "spans"), run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

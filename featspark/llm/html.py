@@ -16,6 +16,9 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ._common import map_arrow
 
 # Elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -216,6 +219,4 @@ def extract_main_text(pages: DataFrame, html_col: str = "html", keep: tuple[str,
                 [*batch.columns[:width], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 [*keep, "text", "n_chars"])
 
-    from pyspark.sql import types as T
-
-    return rows.mapInArrow(run, T.StructType([*fields, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]))
+    return map_arrow(rows, run, T.StructType([*fields, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]))

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import map_arrow
+
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 UNKNOWN = "und"
 
@@ -100,7 +102,7 @@ def predict_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_i
                                               pa.array([f[1] for f in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double").withColumn(
+    return map_arrow(rows, run, "doc_id long, lang_pred string, score double").withColumn(
         "rejected", (F.col("lang_pred") == UNKNOWN) | (F.col("score") < min_margin))
 
 
@@ -115,7 +117,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel, min_margin: float = 0
             found = (classify(t.as_py()) for t in batch.column(at))
             yield batch.filter(pa.array([lang != UNKNOWN and score >= min_margin for lang, score in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize, unused
+from ._common import map_arrow, materialize, unused
 from .components import connected_components
 
 #: Rows of bits counted at once, children of a node, pairs held at once.
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return map_arrow(rows, run, "doc_id long, fp long")
 
 
 def gray_rank(c: Column) -> Column:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import map_arrow, materialize
 from .tokens import TOKENIZER, load_encoder
 
 KEYS = ("source", "lang", "tokenizer")
@@ -33,7 +33,7 @@ def count_tokens(docs: DataFrame, name: str = TOKENIZER, id_col: str = "doc_id",
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *[F.col(k).cast("string").alias(k) for k in keep],
                        F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id long, {', '.join(f'{k} string' for k in keep)}, n_tokens long")
+    return map_arrow(rows, run, f"doc_id long, {', '.join(f'{k} string' for k in keep)}, n_tokens long")
 
 
 class TokenRollup:
