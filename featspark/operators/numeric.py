@@ -140,9 +140,10 @@ class NumericFeatures:
         return (x - center) / F.lit(float(spread)) if c in (self.scales or {}) else x
 
 
-def learn_lambdas(df: DataFrame, columns: list[str], points: int = 21, passes: int = 4, reach: float = 5.0) -> dict[str, float]:
+def learn_lambdas(df: DataFrame, columns: list[str], points: int = 11, passes: int = 7, reach: float = 5.0) -> dict[str, float]:
     """Maximum-likelihood Yeo-Johnson lambdas: a grid over [-reach, reach], then finer ones around the
-    best. One job a pass serves all columns; a column of one value or hardly any range has lambda 1."""
+    best. One job a pass serves all columns: each value meets each grid point in the task that reads it,
+    and variances are summed by column and point. One value or hardly any range gives lambda 1."""
     base = _row(df, {f"{k}{i}": f for i, c in enumerate(columns) for k, f in
                      (("n", F.count(c)), ("a", F.min(c)), ("b", F.max(c)), ("j", F.sum(F.signum(c) * F.log1p(F.abs(c)))))})
     out = {}
@@ -150,13 +151,23 @@ def learn_lambdas(df: DataFrame, columns: list[str], points: int = 21, passes: i
         low, high = base[f"a{i}"], base[f"b{i}"]
         if base[f"n{i}"] <= 1 or high - low <= 1e-9 * max(1.0, abs(low), abs(high)):
             out[c] = 1.0
+    df = df.select(*[F.col(f"`{c}`") for c in columns])
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < tasks:  # a small file is one task, and each value is worth many logarithms
+        df = df.repartition(tasks)
     todo = {i: (-reach, reach) for i, c in enumerate(columns) if c not in out}
-    for _ in range(passes):
+    x, lam = F.col("x"), F.col("g.lam")
+    up = F.when(F.abs(lam) < 1e-12, F.log1p(x)).otherwise((F.pow(x + 1, lam) - 1) / F.when(F.abs(lam) >= 1e-12, lam))
+    down = F.when(F.abs(lam - 2) < 1e-12, -F.log1p(-x)).otherwise(-(F.pow(1 - x, 2 - lam) - 1) / F.when(F.abs(lam - 2) >= 1e-12, 2 - lam))
+    for _ in range(passes if todo else 0):
         grids = {i: [a + (b - a) * k / (points - 1) for k in range(points)] for i, (a, b) in todo.items()}
-        got = _row(df, {f"v{i}_{k}": F.var_pop(yeo_johnson(F.col(columns[i]), lam)) for i, grid in grids.items() for k, lam in enumerate(grid)})
+        cells = [F.struct(F.lit(i).alias("i"), F.col(f"`{columns[i]}`").alias("x"),
+                          F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("lam")) for k, v in enumerate(grid)]).alias("grid")) for i, grid in grids.items()]
+        rows = df.select(F.explode(F.array(*cells)).alias("c")).select("c.i", "c.x", F.explode("c.grid").alias("g")).where("x is not null")
+        spread = {(r["i"], r["k"]): r["v"] for r in rows.groupBy("i", F.col("g.k").alias("k")).agg(F.var_pop(F.when(x >= 0, up).otherwise(down)).alias("v")).collect()}
         for i, grid in grids.items():
             def likely(k, i=i, grid=grid):
-                v = got[f"v{i}_{k}"]
+                v = spread.get((i, k))
                 ok = v is not None and math.isfinite(v) and v > 0
                 return -base[f"n{i}"] / 2 * math.log(v) + (grid[k] - 1) * base[f"j{i}"] if ok else -math.inf
             best = max(range(points), key=likely)
