@@ -68,9 +68,13 @@ def share_out(budget: int, weights: list[Fraction], room: list[int]) -> list[int
 
 
 def leaf_budgets(totals: Mapping[tuple[str, ...], int], budget: int, mix: Mix) -> dict[tuple[str, ...], int]:
-    """Tokens for each leaf, given the tokens that one epoch of it has."""
+    """Tokens for each leaf, given the tokens that one epoch of it has. Leaves below a weight of zero
+    get none, and what they hold is no room of the family."""
     out: dict[tuple[str, ...], int] = {}
 
+    def usable(leaf: tuple[str, ...], depth: int) -> bool:
+        return all(mix.weight(leaf[:d]) > 0 for d in range(depth + 1, len(leaf) + 1))
+
     def down(path: tuple[str, ...], leaves: dict[tuple[str, ...], int], given: int) -> None:
         if path in leaves:
             out[path] = given
@@ -79,7 +83,7 @@ def leaf_budgets(totals: Mapping[tuple[str, ...], int], budget: int, mix: Mix) -
         for leaf, n in sorted(leaves.items()):
             families.setdefault(leaf[len(path)], {})[leaf] = n
         paths = [(*path, name) for name in families]
-        room = [sum(f.values()) * mix.max_epochs for f in families.values()]
+        room = [sum(n for leaf, n in f.items() if usable(leaf, len(path) + 1)) * mix.max_epochs for f in families.values()]
         for child, family, part in zip(paths, families.values(), share_out(given, [mix.weight(p) for p in paths], room), strict=True):
             down(child, family, part)
 

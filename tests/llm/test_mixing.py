@@ -30,6 +30,15 @@ def test_shortage_goes_to_siblings_first():
     assert leaf_budgets(totals, 400, mix) == {("a", "en", "x"): 10, ("a", "de", "y"): 100, ("b", "en", "z"): 290}
 
 
+def test_zero_weight_below_is_no_room_above():
+    totals = {("a", "en", "x"): 100, ("a", "de", "y"): 900, ("b", "en", "z"): 1000}
+    mix = Mix(weights={("a", "de"): 0}, domains={})
+    assert leaf_budgets(totals, 600, mix) == {("a", "en", "x"): 100, ("a", "de", "y"): 0, ("b", "en", "z"): 500}
+    mix = Mix(weights={("a", "de", "y"): 0}, domains={})
+    assert leaf_budgets(totals, 600, mix) == {("a", "en", "x"): 100, ("a", "de", "y"): 0, ("b", "en", "z"): 500}
+    assert leaf_budgets(totals, 5000, mix) == {("a", "en", "x"): 100, ("a", "de", "y"): 0, ("b", "en", "z"): 1000}
+
+
 def check(docs, mix, budget=None, share=1.0):
     rows = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), "text").collect()
     leaves = defaultdict(list)
