@@ -37,7 +37,9 @@ class Page:
         """(lower, upper) bounds of each query's score with each row."""
         half = (self.width - 1) / 2
         middle = queries @ (self.low + self.cells * self.width + half).T
-        slack = (np.abs(queries) @ half)[:, None] + 0.5
+        size = np.abs(queries)
+        rounding = (size @ (np.abs(self.low) + CELLS * self.width)) * (len(self.low) * 2.0 ** -50)  # far under 0.5 unless components are huge
+        slack = (size @ half + rounding)[:, None] + 0.5
         return middle - slack, middle + slack
 
     def best(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, int]]:

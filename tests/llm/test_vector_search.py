@@ -58,3 +58,10 @@ def test_bounds_hold():
     low, high = page.bounds(queries)
     scores = queries @ exact.T
     assert (low <= scores).all() and (scores <= high).all() and np.allclose(high - low, (np.abs(queries) @ (page.width - 1) + 1)[:, None])
+
+
+def test_huge_components_lose_no_row(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) * 2.0 ** 21 for x in rng.normal(size=8)], 0, "x", 1) for i in range(300)]
+    rows += [(1000 + i, [v + float(rng.integers(-1, 2)) / 256 for v in rows[i % 3][1]], 0, "x", 1) for i in range(200)]
+    check(spark.createDataFrame(rows, SCHEMA), 50)
