@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import map_arrow
@@ -39,17 +39,21 @@ def normalize(text: str) -> str:
 def fit_language_id(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
                     dict_bytes: int = 110_000, sample_docs: int = 200, doc_chars: int = 2000) -> LanguageModel:
     """Learn dictionaries. The sample is bounded by parameters: about ``sample_docs`` rows a language
-    (those of the lowest hash of the id), ``doc_chars`` characters of each, ``dict_bytes`` in all.
-    Rows with null or letterless text or null language teach nothing; no rows give an empty model."""
+    (those of the lowest hash of the id, or of the text where the id is null; twice as many at most),
+    ``doc_chars`` characters of each, ``dict_bytes`` in all. Rows repeated with one id and text count
+    once; ids tell documents apart; rows with null or letterless text or null language teach nothing; no rows give an empty model."""
+    drawn_by = F.coalesce(F.col(id_col).cast("string"), F.col(text_col))
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"),
-                           (F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30)) / float(1 << 30)).alias("draw"))
+                           (F.pmod(F.xxhash64(drawn_by), F.lit(1 << 30)) / float(1 << 30)).alias("draw"))
     rows = rows.where("lang is not null and text is not null")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return LanguageModel({})
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, sample_docs / n)))])
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))
     taken = (rows.where(F.col("draw") <= F.element_at(share, F.col("lang")))
-             .select("lang", "draw", F.substring("text", 1, doc_chars).alias("text")).collect())
+             .select("lang", "draw", F.substring("text", 1, doc_chars).alias("text")).distinct()
+             .withColumn("place", first).where(F.col("place") <= 2 * sample_docs).collect())
     by: dict[str, list[bytes]] = {}
     for r in sorted(taken, key=lambda r: (r["lang"], r["draw"], r["text"])):
         if text := normalize(r["text"]):

@@ -39,3 +39,14 @@ def test_only_text_is_used(documents):
     same = documents.withColumns({"lang": F.lit("en"), "source": F.lit("x"), "doc_id": F.col("doc_id") + 1})
     a = [(r["lang_pred"], r["score"]) for r in predict_language(documents, model).orderBy("doc_id").collect()]
     assert a == [(r["lang_pred"], r["score"]) for r in predict_language(same, model).orderBy("doc_id").collect()]
+
+
+def test_sample_stays_bounded_and_copies_count_once(spark):
+    def docs(ids):
+        return spark.range(3000).selectExpr(f"{ids} as doc_id", "concat('word', id, ' and other words') as text", "'en' as lang")
+
+    for ids in ("cast(null as bigint)", "id"):
+        said = fit_language_id(docs(ids), sample_docs=20).dictionaries["en"].decode()
+        assert 1 <= said.count("and other words") <= 40
+    once, often = docs("id").limit(50), docs("id").limit(50)
+    assert fit_language_id(often.unionAll(once)) == fit_language_id(once)
