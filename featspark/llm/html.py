@@ -51,6 +51,8 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 MARKED = re.compile(r"class|id|role|hidden|style", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: A class that says what stands beside an element or not, as in ``has-sidebar``.
+STATE = re.compile(r"(?:has|with|without|no)[-_]", re.I)
 INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -67,7 +69,7 @@ def _is_cut(tag: str, attrs: str) -> bool:
             continue
         if name == "role" and value.lower() in CUT_ROLES:
             return True
-        if name in ("class", "id") and any(w.lower() in CUT_WORDS for w in WORDS.findall(value)):
+        if name in ("class", "id") and any(w.lower() in CUT_WORDS for token in value.split() if not STATE.match(token) for w in WORDS.findall(token)):
             return True
     return False
 

@@ -14,6 +14,7 @@ CASES = [
     ("<p>One<p>Two<br>three<script>var a='<p>no</p>';</script><style>p{}</style><!-- <p>no</p> --><form><p>Form</p></form>", "One Two three"),
     ("<article><p>a &lt;b&gt; &#233;&nbsp;&eacute; &copy; x</p><noscript>no</noscript><div hidden>no</div><div style='display: none'>no</div></article>", "a <b> é é © x"),
     ("<article><p title='a > b'>in</p><unknown>kept</unknown></article>", "in kept"),
+    ("<body><div class='layout has-sidebar no-comments'><div class=post><p>In, the, page.</p></div><div class='sidebar'><p>Side, side</p></div></div></body>", "In, the, page."),
     ("", ""), (None, ""), ("<nav>only</nav>", ""), ("just text", "just text"), ("<", "<"), ("<p", "<p"),
 ]
 
