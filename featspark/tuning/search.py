@@ -8,6 +8,7 @@ from typing import Any
 
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -89,7 +90,7 @@ def fit_gbt_classifier(train: DataFrame, test: DataFrame, features: list[str], l
                        n_trials: int = 100, metric: str = "f1", final_fit_data: str = "train", seed: int = 42) -> Tuned:
     """As for regressors. Labels are 0..k-1; more than two classes get a random forest, which Spark ML
     boosts for two only."""
-    if metric not in ("accuracy", "precision", "recall", "f1"):
+    if metric not in metrics.CLASSIFICATION:
         raise ValueError(f"unknown metric {metric!r}")
     classes = train.agg(F.count_distinct(label)).first()[0]
 
@@ -101,9 +102,28 @@ def fit_gbt_classifier(train: DataFrame, test: DataFrame, features: list[str], l
         return model.setValidationIndicatorCol("_held") if held else model
 
     def score(df):
+        if metric in ("roc_auc", "log_loss"):
+            return probability_score(df, metric, label)
         return metrics.classification_metrics(df, label, "prediction", positive=1.0 if classes == 2 else None).first()[metric]
 
-    return _search("classifier", make, score, True, train, test, validation, features, label, space, n_trials, final_fit_data, seed)
+    return _search("classifier", make, score, metrics.CLASSIFICATION[metric], train, test, validation, features, label, space, n_trials, final_fit_data, seed)
+
+
+def probability_score(df: DataFrame, metric: str, label: str) -> float:
+    """roc_auc or log_loss of Spark ML's ``probability``; the area over more than two classes is the mean
+    of each against the rest, classes without cases or without others left out (NaN if none is left)."""
+    rows = df.select(F.col(label).cast("int").alias("y"), vector_to_array("probability").alias("p")).where("y is not null")
+    k = rows.select(F.size("p").alias("k")).first()
+    if k is None:
+        return float("nan")
+    if metric == "log_loss":
+        # a class that training lacks has no probability
+        own = F.coalesce(F.get("p", F.col("y")), F.lit(0.0))
+        return rows.select(F.lit(1).alias("y_true"), own.alias("y_proba")).transform(metrics.log_loss).first()[0]
+    areas = [metrics.roc_auc(rows.select((F.col("y") == i).cast("int").alias("y_true"), F.get("p", F.lit(i)).alias("y_proba"))).first()[0]
+             for i in ((1,) if k[0] == 2 else range(k[0]))]
+    known = [a for a in areas if a is not None]
+    return sum(known) / len(known) if known else float("nan")
 
 
 def learning_curve(model, df: DataFrame, features: list[str], label: str) -> list[float]:
