@@ -8,7 +8,6 @@ trials that differ in nothing else share their sums.
 from __future__ import annotations
 
 import math
-import random
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 from datetime import datetime, timedelta
@@ -23,7 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import micros
 from ..operators import metrics
 from ..operators.plotdata import infer_interval
-from .space import HyperparameterSpace, weighted_score
+from .space import HyperparameterSpace, ParzenSampler, weighted_score
 
 DAY = 86_400.0
 EPOCH = datetime(1970, 1, 1)
@@ -212,7 +211,7 @@ class TunedForecast:
 
 def fit_seasonal_model(y: DataFrame, y_test: DataFrame, regressors: Sequence[str] | None = None, interval_width: float = 0.8, space: HyperparameterSpace | None = None,
                        n_trials: int = 100, final_fit_data: str = "train", metric: str = "mape", horizon: timedelta = timedelta(days=180), seed: int = 42) -> TunedForecast:
-    """Random search: each trial is scored by rolling-origin validation inside ``y``, later parts of the
+    """Parzen search: each trial is scored by rolling-origin validation inside ``y``, later parts of the
     horizon weighing up to twice the first; the best is fitted on ``y``, or on ``y`` and ``y_test``."""
     if metric not in ("mape", "mae", "rmse", "mse"):
         raise ValueError(f"unknown metric {metric!r}")
@@ -237,13 +236,13 @@ def fit_seasonal_model(y: DataFrame, y_test: DataFrame, regressors: Sequence[str
     longest = max((period for _, period, _, least, most in SEASONS if span >= least * DAY and step < most * DAY), default=0.0)
     ends = cutoffs(first, last, step, horizon, timedelta(days=longest))
     kept: list[dict] = [{} for _ in ends]
-    rng, trials = random.Random(seed), []
+    sampler, trials = ParzenSampler(space, False, seed), []
 
     def build(params):
         return SeasonalModel(tuple(names), **{**params, "interval_width": interval_width})
 
     for _ in range(n_trials):
-        params = space.suggest(rng)
+        params = sampler.ask()
         parts = None
         for end, sums in zip(ends, kept, strict=True):
             model = build(params).fit(train.where(F.col("ds") <= F.lit(end)), step, sums)
@@ -256,6 +255,7 @@ def fit_seasonal_model(y: DataFrame, y_test: DataFrame, regressors: Sequence[str
         rows = parts.groupBy("part").agg(score.alias("score")).collect()  # HORIZON_PARTS rows
         if rows:
             trials.append((params, weighted_score([r["score"] for r in sorted(rows, key=lambda r: r["part"])])))
+            sampler.tell(*trials[-1])
     if not trials:
         raise ValueError("no trial could be scored")
     best = min(trials, key=lambda t: t[1])[0]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import random
 from dataclasses import dataclass
 from typing import Any
 
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import metrics
-from .space import HyperparameterSpace
+from .space import HyperparameterSpace, ParzenSampler
 
 
 def stack(train: DataFrame, validation: DataFrame | None = None, test: DataFrame | None = None) -> DataFrame:
@@ -51,12 +50,13 @@ def _search(kind: str, make, score, better, train, test, validation, features, l
     ready = lambda df, held: together.transform(df.select(*features, F.col(label).cast("double").alias(label))).select("_features", label, F.lit(held).alias("_held"))
     fitted_on = ready(train, False) if validation is None else ready(train, False).unionByName(ready(validation, True))
     fitted_on, scored_on = fitted_on.persist(), ready(test, False).persist()
-    rng, trials = random.Random(seed), []
+    sampler, trials = ParzenSampler(space, better, seed), []
     try:
         for _ in range(n_trials):
-            params = space.suggest(rng)
+            params = sampler.ask()
             model = make(params, validation is not None).fit(fitted_on)
             trials.append((params, score(model.transform(scored_on)), getattr(model, "getNumTrees", None)))
+            sampler.tell(params, trials[-1][1])
         best = (max if better else min)(trials, key=lambda t: t[1])
         params = dict(best[0])
         if best[2]:
@@ -71,7 +71,7 @@ def _search(kind: str, make, score, better, train, test, validation, features, l
 
 def fit_gbt_regressor(train: DataFrame, test: DataFrame, features: list[str], label: str, validation: DataFrame | None = None, space: HyperparameterSpace | None = None,
                       n_trials: int = 100, metric: str = "rmse", final_fit_data: str = "train", seed: int = 42) -> Tuned:
-    """Random search: trials are fitted on train, stopped early by validation, scored on test; the best
+    """Parzen search: trials are fitted on train, stopped early by validation, scored on test; the best
     parameters are fitted again on ``final_fit_data``."""
     if metric not in metrics.REGRESSION:
         raise ValueError(f"unknown metric {metric!r}")

@@ -5,7 +5,7 @@ import pytest
 
 from featspark.tuning.forecast import SeasonalModel, cutoffs, fit_seasonal_model
 from featspark.tuning.search import probability_score
-from featspark.tuning.space import CategoricalDimension, HyperparameterSpace
+from featspark.tuning.space import CategoricalDimension, FloatDimension, HyperparameterSpace, IntegerDimension, ParzenSampler
 
 START = datetime(2024, 1, 1)
 SCHEMA = "ds timestamp_ntz, y double, x double"
@@ -82,3 +82,27 @@ def test_probability_scores(spark):
     assert abs(probability_score(two, "log_loss", "c") + np.mean(np.log([0.9, 0.6, 0.05, 0.5]))) < 1e-12
     many = spark.createDataFrame([(i, Vectors.dense(*[0.8 if i == j else 0.1 for j in range(3)])) for i in range(3)] + [(5, Vectors.dense(0.2, 0.4, 0.4))], ["c", "probability"])
     assert probability_score(many, "roc_auc", "c") == 1.0 and probability_score(many, "log_loss", "c") > 5
+
+
+def test_parzen_search_beats_chance():
+    space = HyperparameterSpace("seasonal", {"a": FloatDimension(0.0, 1.0), "b": FloatDimension(1e-4, 1.0, log=True), "c": IntegerDimension(1, 41, 4),
+                                             "d": CategoricalDimension(("p", "q", None)), "e": FloatDimension(0.0, 1.0, step=0.1), "f": IntegerDimension(3, 3)})
+
+    def loss(v):
+        return abs(v["a"] - 0.3) + abs(np.log10(v["b"]) + 2) + abs(v["c"] - 21) / 20 + (v["d"] != "q") + abs(v["e"] - 0.5)
+
+    wins = 0
+    for seed in range(20):
+        best = {}
+        for startup in (10, 80):
+            sampler = ParzenSampler(space, False, seed, startup)
+            for _ in range(80):
+                params = sampler.ask()
+                assert all(d.contains(params[k]) for k, d in space.dimensions.items())
+                sampler.tell(params, loss(params))
+            best[startup] = min(score for _, score in sampler.told)
+        wins += best[10] < best[80]
+    assert wins >= 15
+    sampler = ParzenSampler(space, True, startup=1)
+    sampler.tell(space.suggest(sampler.rng), float("nan"))
+    assert sampler.ask()["f"] == 3
