@@ -690,3 +690,45 @@ def final_fit_stack(spark, d):
     rows = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_quantity").alias("q"))
     return stack(rows.where("k % 10 < 8"), rows.where("k % 10 = 8"), rows.where("k % 10 = 9"))
 
+
+
+@query(f"""WITH s AS ({SC}), c AS (SELECT unnest([0, 1]) AS class)
+SELECT CAST(class AS INTEGER) AS class, round(coalesce(count(*) FILTER (y_true = class AND y_pred = class) / nullif(count(*) FILTER (y_pred = class), 0), 0), 6) AS precision,
+round(coalesce(count(*) FILTER (y_true = class AND y_pred = class) / nullif(count(*) FILTER (y_true = class), 0), 0), 6) AS recall,
+round(coalesce(2.0 * count(*) FILTER (y_true = class AND y_pred = class) / nullif(count(*) FILTER (y_true = class) + count(*) FILTER (y_pred = class), 0), 0), 6) AS f1,
+count(*) FILTER (y_true = class) AS support FROM s, c GROUP BY class""")
+def class_scores(spark, d):
+    out = rounded(metrics.class_scores(scored(spark, d)), "precision", "recall", "f1")
+    return out.withColumns({"class": F.col("class").cast("int"), "support": F.col("support").cast("long")})
+
+
+@query()
+def decomposition_stl(spark, d):
+    from ..operators.decomposition import decompose
+
+    return rounded(decompose(plotdata.resample(daily(spark, d)), [7]), "trend", "seasonal_7", "remainder", digits=4)
+
+
+@query()
+def forecast_seasonal(spark, d):
+    """The last 90 days of the daily series, forecast from those before."""
+    from ..tuning.forecast import SeasonalModel
+
+    series = roots(spark, d).select(F.col("ts").alias("ds"), F.col("val").alias("y"))
+    last = series.agg(F.max("ds")).first()[0]
+    cut = F.lit(last) - F.expr("INTERVAL 90 DAYS")
+    model = SeasonalModel().fit(series.where(F.col("ds") <= cut))
+    return rounded(model.predict(series.where(F.col("ds") > cut)), "y", "trend", "yhat", "yhat_lower", "yhat_upper", digits=3)
+
+
+@query()
+def tune_gbt(spark, d):
+    """Trials of a small search for line prices, with their errors on the test rows."""
+    from ..tuning.search import fit_gbt_regressor
+    from ..tuning.space import CategoricalDimension, HyperparameterSpace
+
+    lines_ = read(spark, d, "lineitem").select("l_orderkey", "l_quantity", "l_discount", "l_tax", "l_extendedprice")
+    train, val, test = (lines_.where(f"l_orderkey % 10 {c}") for c in ("< 8", "= 8", "= 9"))
+    space = HyperparameterSpace("regressor", {"maxIter": CategoricalDimension((5,)), "maxDepth": CategoricalDimension((2, 4))})
+    tuned = fit_gbt_regressor(train, test, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", val, space, n_trials=2)
+    return spark.createDataFrame([(i, p["maxDepth"], round(s, 3)) for i, (p, s) in enumerate(tuned.trials)], "trial int, max_depth int, rmse double")

@@ -11,7 +11,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-CHECKED = ["ts_rolling_horizon", "ts_lag_units", "ts_holiday_us", "num_pipeline", "enc_target_oof", "summarize_orders", "acf", "roc_curve"]
+CHECKED = ["ts_rolling_horizon", "ts_lag_units", "ts_holiday_us", "num_pipeline", "enc_target_oof", "summarize_orders", "acf", "roc_curve", "class_scores"]
 
 
 def plain(v):
@@ -43,3 +43,12 @@ def test_rest_works_without_the_add_on(tmp_path):
     code = ("import sys; sys.modules['featspark.llm'] = None; sys.modules['corpus_pipeline'] = None\n"
             "import __spark_entry__ as e; assert 'ts_gap' in e.queries() and 'pipeline' not in e.queries() and not any(k.startswith('op') for k in e.oracle_sql())")
     subprocess.run([sys.executable, "-c", code], check=True, cwd=root, timeout=120)
+
+
+def test_models_give_rows(spark):
+    made = entry.queries()
+    parts = made["decomposition_stl"](spark, SF).collect()
+    assert parts and all(abs(r["val"] - r["trend"] - r["seasonal_7"] - r["remainder"]) < 1e-3 for r in parts)
+    ahead = made["forecast_seasonal"](spark, SF).collect()
+    assert ahead and all(r["yhat_lower"] < r["yhat"] < r["yhat_upper"] for r in ahead)
+    assert [r["trial"] for r in made["tune_gbt"](spark, SF).orderBy("trial").collect()] == [0, 1]
