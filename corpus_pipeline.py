@@ -10,7 +10,7 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 
-from featspark.llm import exact_dedup, langid, mixing, packing, simhash
+from featspark.llm import exact_dedup, langid, mixing, packing, similar_copies
 from featspark.llm._common import materialize
 from featspark.llm.queries import MIX
 
@@ -29,8 +29,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-copies, the document of the smallest id."""
-    return simhash.drop_near_copies(docs)
+    """Of each group of near-copies (similarity 0.8 or more of 5-word shingles), the document of the smallest id."""
+    return similar_copies.drop_similar_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
