@@ -1,7 +1,8 @@
 """Personal data: patterns propose spans, checksums confirm them, nearby words adjust the score.
 
 SQL functions only. ``split`` and ``regexp_extract_all`` with one pattern cut a text into what lies
-between matches and the matches; their running lengths are the positions. Patterns are possessive or
+between matches and the matches; their running lengths are the positions, and the characters about a
+match come from its neighbours too. Patterns are possessive or
 bounded, so time is linear in the text. A text is searched for a kind only if it holds a character
 that every match of the kind must hold.
 """
@@ -33,6 +34,8 @@ CONTEXT = {"email": "mail|contact|write", "ip": r"\bip\b|address|server|host|log
 BASE = ("email", "ip", "card", "phone")
 KINDS = tuple(PATTERNS)
 CONTEXT_BEFORE, CONTEXT_AFTER = 40, 20
+#: Matches, each with the piece before it, that may begin within the context after a span: they have two characters at least.
+AHEAD = CONTEXT_AFTER // 2
 
 
 def _digits(c: Column) -> Column:
@@ -76,20 +79,23 @@ def _valid(kind: str, m: Column) -> Column:
 
 def _spans(kind: str, pieces: Column, matches: Column) -> Column:
     """Confirmed spans of a kind, in order, from what ``split`` and ``regexp_extract_all`` gave."""
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"),
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.lit("").alias("tail"),
                      F.expr("cast(array() as array<struct<kind:string,start:int,end:int,score:double>>)").alias("out"))
     alone, near, least = SCORES[kind]
 
     def step(acc, m):
         before = F.element_at(pieces, acc["i"] + 1)
-        after = F.element_at(pieces, acc["i"] + 2)
+        ahead = F.zip_with(F.slice(pieces, acc["i"] + 2, F.lit(AHEAD)), F.slice(matches, acc["i"] + 2, F.lit(AHEAD)),
+                           lambda p, q: F.concat(*(F.left(F.coalesce(x, F.lit("")), F.lit(CONTEXT_AFTER)) for x in (p, q))))
+        seen = F.right(F.concat(acc["tail"], F.right(before, F.lit(CONTEXT_BEFORE))), F.lit(CONTEXT_BEFORE))
         begin = acc["at"] + F.length(before)
         end = begin + F.length(m)
-        around = F.lower(F.concat(F.right(before, F.lit(CONTEXT_BEFORE)), F.lit(" "), F.left(after, F.lit(CONTEXT_AFTER))))
+        around = F.lower(F.concat(seen, F.lit(" "), F.left(F.array_join(ahead, ""), F.lit(CONTEXT_AFTER))))
         score = F.when(around.rlike(CONTEXT[kind]), F.lit(near)).otherwise(F.lit(alone))
         span = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), score.alias("score"))
         out = F.when(_valid(kind, m) & (score >= least), F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
-        return F.struct(end.alias("at"), (acc["i"] + 1).alias("i"), out.alias("out"))
+        tail = F.right(F.concat(seen, F.right(m, F.lit(CONTEXT_BEFORE))), F.lit(CONTEXT_BEFORE))
+        return F.struct(end.alias("at"), (acc["i"] + 1).alias("i"), tail.alias("tail"), out.alias("out"))
 
     return F.aggregate(matches, start, step, lambda acc: acc["out"])
 

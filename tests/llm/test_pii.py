@@ -74,3 +74,16 @@ def test_checksums_and_context_add_spans(spark):
 def test_no_python_in_plan(documents):
     plan = pii_digest(documents)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def found(spark, *texts):
+    rows = find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return [[(f["kind"], texts[r["doc_id"]][f["start"]:f["end"]], f["score"]) for f in r["findings"] if f["kind"] in ("ssn", "iban")]
+            for r in sorted(rows, key=lambda r: r["doc_id"])]
+
+
+def test_context_reaches_over_other_matches(spark):
+    got = found(spark, "SSN 123-45-6789, 987-65-4321", "123-45-6789, 987-65 and 987-65-4321 ssn", "SSN 123-45-6789 " + "far " * 12 + "987-65-4321", "123-45-6789 987-65-4321 SSN")
+    assert got[0] == [("ssn", "123-45-6789", 0.8), ("ssn", "987-65-4321", 0.8)]
+    assert got[1] == [("ssn", "987-65-4321", 0.8)] and got[2] == [("ssn", "123-45-6789", 0.8)]
+    assert len(got[3]) == 2
