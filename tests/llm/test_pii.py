@@ -87,3 +87,10 @@ def test_context_reaches_over_other_matches(spark):
     assert got[0] == [("ssn", "123-45-6789", 0.8), ("ssn", "987-65-4321", 0.8)]
     assert got[1] == [("ssn", "987-65-4321", 0.8)] and got[2] == [("ssn", "123-45-6789", 0.8)]
     assert len(got[3]) == 2
+
+
+def test_iban_ends_where_its_country_says(spark):
+    iban = "DE89 3704 0044 0532 0130 00"
+    got = found(spark, f"IBAN: {iban} BIC: COBADEFFXXX", f"IBAN {iban.replace(' ', '')} BIC COBADEFFXXX", f"{iban} 12345", f"AB12 {iban}", "IBAN GB82 WEST 1234 5698 7654 32 BIC X",
+                "DE89 3704 0044 0532 0130 01 BIC")
+    assert [[m for _, m, _ in g] for g in got] == [[iban], [iban.replace(" ", "")], [iban], [iban], ["GB82 WEST 1234 5698 7654 32"], []]
