@@ -1,10 +1,12 @@
-"""Near copies by Jaccard similarity of word shingles, every pair found: prefix filter and exact check.
-
-Shingles get one order for all texts, common ones (known from a sample) last. Texts whose similarity
-reaches the bound share a shingle among the first of both, so only those first ones meet in a shuffle.
-Before that, texts of equal least shingle under a few permutations are held against one of them, which
-joins most of a large group without its pairs; after that only texts of different groups make pairs.
-A pair counts once the shingles themselves, not their hashes, reach the bound.
+"""Near copies by Jaccard similarity of word shingles, every pair found.
+
+A text can only have a near copy if most of its shingles stand in other texts too, so first every text
+learns how many of its shingles it shares: shingle hashes are dealt to buckets in packed blobs, a blob a
+batch of texts and bucket, and the buckets answer with the texts whose shingles come from two batches.
+Few texts are left. Those get SimHash fingerprints, and the Gray-order index links the nearest of them,
+which joins most of a large group without its pairs. Links beyond the index's reach come from a prefix
+filter: shingles get one order, rare ones first, and texts whose similarity reaches the bound share one
+of the first of both. A pair counts once the shingles themselves, not their hashes, reach the bound.
 """
 
 from __future__ import annotations
@@ -16,40 +18,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_arrow, materialize, unused
+from ._common import ascii_lower, map_arrow, materialize, unused
 from .components import connected_components
+from .simhash import fingerprint_links, fingerprints
 
-#: Rows sampled for common shingles, and most of these that are kept; neither changes the result.
-SAMPLE, COMMON = 5000, 50_000
-#: Permutations of the least shingles (odd factors), and most rows of a broadcast table.
-FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+#: Shingles that a bucket holds about, up to 65,536 buckets, and bytes of text hashed at once.
+BUCKET_TOKENS, CHUNK_BYTES = 1 << 21, 1 << 21
+#: Most rows of a broadcast table.
 BROADCAST_ROWS = 1 << 20
-#: Words whose hash is remembered, and their most bytes.
-CACHED, CACHED_BYTES = 1 << 17, 64
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
-
-        value = xxh64_intdigest(word, 42)
-        if len(word) <= CACHED_BYTES:
-            if len(self) >= CACHED:
-                self.clear()
-            self[word] = value
-        return value
-
-
-_HASHES = _WordHashes()
-
-
-def _split(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
+#: In place of a text's number in a blob: its batch holds the shingle in several texts.
+SEVERAL = 0xFFFF
+_FACTOR, _STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+_INVERSE = pow(_FACTOR, -1, 1 << 64)
 
 
 def shingle_set(text: str | None, shingle: int = 5) -> set[tuple]:
     """The text's word shingles; a shorter text is one shingle, a wordless one the empty shingle."""
-    words = _split(text)
+    words = (text or "").encode().lower().split()
     return {tuple(words[i:i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
 
 
@@ -59,17 +44,71 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
-    """Distinct 64-bit hashes of the word shingles, ascending."""
-    if not words:
-        return np.zeros(1, np.uint64)
-    each = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-    size = min(shingle, len(words))
-    n = len(words) - size + 1
-    out = np.zeros(n, np.uint64)
-    for i in range(size):
-        out = out * np.uint64(0x9FB21C651E98DF25) + each[i:i + n]
-    return np.unique(_mix(out))
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values begin and end."""
+    cuts = np.flatnonzero(x[1:] != x[:-1]) + 1
+    return (np.r_[0, cuts], np.r_[cuts, len(x)]) if len(x) else (cuts, cuts)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def _word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text) of each word of the texts that begin at ``starts`` in the bytes ``data``."""
+    gap = (data == 32) | (data - np.uint8(9) <= 4)
+    first = ~gap
+    first[1:] &= gap[:-1]
+    at = starts[starts < len(data)]
+    first[at] = ~gap[at]
+    begin = np.flatnonzero(first)
+    if not len(begin):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    last = ~gap
+    last[:-1] &= gap[1:] | first[1:]
+    end = np.flatnonzero(last)
+    hashes = np.empty(len(begin), np.uint64)
+    i = 0
+    while i < len(begin):
+        j = max(i + 1, int(np.searchsorted(end, begin[i] + CHUNK_BYTES)))
+        base = int(begin[i])
+        part = data[base:int(end[j - 1]) + 1]
+        part = part + ((part - np.uint8(65) < 26).astype(np.uint8) << 5)
+        sums = np.cumsum((part.astype(np.uint64) + np.uint64(1)) * _powers(_FACTOR, len(part)), dtype=np.uint64)
+        b, e = begin[i:j] - base, end[i:j] - base
+        inside = sums[e] - np.where(b > 0, sums[b - 1], np.uint64(0))
+        hashes[i:j] = _mix(inside * _powers(_INVERSE, len(part))[b] + (e - b).astype(np.uint64))
+        i = j
+    return hashes, np.searchsorted(starts, begin, side="right") - 1
+
+
+def shingle_tokens(column: pa.Array, shingle: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For runs of texts: number of the first, how many, and (text within the run, hash) of each word shingle.
+    A text of fewer words has one, and so has one without words."""
+    column = column.cast(pa.large_string()).fill_null("")
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    i = 0
+    while i < len(column):
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK_BYTES, side="right")) - 1)
+        hashes, text = _word_hashes(data[offsets[i]:offsets[j]], offsets[i:j] - offsets[i])
+        words = np.bincount(text, minlength=j - i)
+        place = np.concatenate([[0], np.cumsum(words)])
+        tokens, owner = [np.zeros(int((words == 0).sum()), np.uint64)], [np.flatnonzero(words == 0)]
+        for size in range(1, shingle + 1):
+            if size < shingle:
+                begin = place[:-1][words == size]
+            else:
+                begin = np.flatnonzero(text[:max(0, len(text) - size + 1)] == text[size - 1:]) if len(text) >= size else np.zeros(0, np.int64)
+            out = np.full(len(begin), size, np.uint64)
+            for k in range(size):
+                out = out * np.uint64(_STEP) + hashes[begin + k]
+            tokens.append(_mix(out))
+            owner.append(text[begin])
+        yield i, j - i, np.concatenate(owner), np.concatenate(tokens)
+        i = j
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -77,65 +116,114 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def _common(rows: DataFrame, shingle: int) -> np.ndarray:
-    """Hashes that a sample of the texts holds more than twice, from the rarest to the commonest."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(_split(text.as_py()), shingle).view(np.int64))], ["token"])
+def _least_shared(n: np.ndarray, similarity: float) -> np.ndarray:
+    """Shingles, of ``n``, that a text of the similarity must have in common; long texts are let off the
+    few whose hashes may be equal."""
+    return np.ceil(similarity * n - 1e-9) - (n >> 12)
 
-    every = -(-max(1, rows.count()) // SAMPLE)
-    some = rows.where(F.pmod(F.xxhash64("row"), F.lit(every)) == 0).select("text")
-    counts = map_arrow(some, run, "token long").groupBy("token").count().where("count > 2")
-    top = counts.orderBy(F.desc("count"), "token").limit(COMMON).collect()
-    return np.array([r["token"] for r in reversed(top)], np.int64).view(np.uint64)
 
+def sharing_rows(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The ``row`` of every text that shares enough of its shingles with other texts to have a near copy."""
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    bits = min(16, max(8, int(chars // 6 // BUCKET_TOKENS).bit_length()))
+    schema = "bucket int, batch long, tokens binary, places binary"
 
-def _prefixes(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """row, node (hash of the words), n (shingles), least (a shingle a permutation), prefix (first shingles)."""
-    common = rows.sparkSession.sparkContext.broadcast(_common(rows, shingle))  # COMMON hashes
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for base, many, owner, token in shingle_tokens(batch.column(1), shingle):
+                for at in range(0, many, SEVERAL):
+                    inside = (owner >= at) & (owner < at + SEVERAL)
+                    yield from pack(ids[base + at:base + min(many, at + SEVERAL)], owner[inside] - at, token[inside])
+
+    def pack(ids: np.ndarray, owner: np.ndarray, token: np.ndarray) -> Iterator[pa.RecordBatch]:
+        key = np.unique((token >> np.uint64(16) << np.uint64(16)) | owner.astype(np.uint64))
+        owner, token = (key & np.uint64(0xFFFF)).astype(np.int64), key >> np.uint64(16)
+        new = np.r_[True, token[1:] != token[:-1]]
+        several = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] > 1
+        n, here = np.bincount(owner, minlength=len(ids)), np.bincount(owner[several], minlength=len(ids))
+        place = np.where(several, SEVERAL, owner).astype(np.uint16)[new]
+        token = token[new]
+        bucket = (token >> np.uint64(48 - bits)).astype(np.int64)
+        rest = (token >> np.uint64(48 - bits - 32)).astype(np.uint32)
+        name = int(ids[0])  # rows are unique, so the first one names the batch
+        cuts, ends = _runs(bucket)
+        info = np.stack([ids, n, here], 1).astype(np.int64).tobytes()
+        yield pa.RecordBatch.from_arrays([
+            pa.array([-1, *bucket[cuts].tolist()], pa.int32()), pa.array([name] * (len(cuts) + 1), pa.int64()),
+            pa.array([info, *(rest[a:b].tobytes() for a, b in zip(cuts, ends, strict=True))], pa.binary()),
+            pa.array([b"", *(place[a:b].tobytes() for a, b in zip(cuts, ends, strict=True))], pa.binary())], ["bucket", "batch", "tokens", "places"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        if table.column("bucket")[0].as_py() < 0:
+            return pa.table([table.column("batch"), table.column("tokens"), pa.array([True] * len(table))], ["batch", "tokens", "info"])
+        names = table.column("batch").to_numpy()
+        parts = table.column("tokens").to_pylist()
+        token = np.frombuffer(b"".join(parts), np.uint32)
+        place = np.frombuffer(b"".join(table.column("places").to_pylist()), np.uint16)
+        source = np.repeat(np.arange(len(parts), dtype=np.uint32), [len(p) // 4 for p in parts])
+        order = np.argsort(token, kind="stable")
+        token = token[order]
+        same = np.zeros(len(token), bool)
+        same[1:] = token[1:] == token[:-1]
+        same[:-1] |= same[1:]
+        hit = order[same]
+        hit = hit[place[hit] != SEVERAL]
+        source, place = source[hit], place[hit]
+        by = np.argsort(source, kind="stable")
+        source, place = source[by], place[by]
+        cuts, ends = _runs(source)
+        found = [place[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)]
+        return pa.table([pa.array(names[source[cuts]], pa.int64()), pa.array(found, pa.binary()), pa.array([False] * len(found), pa.bool_())], ["batch", "tokens", "info"])
+
+    def count(table: pa.Table) -> pa.Table:
+        blobs = table.column("tokens").to_pylist()
+        marks = table.column("info").to_pylist()
+        ids, n, shared = np.frombuffer(blobs[marks.index(True)], np.int64).reshape(-1, 3).T
+        for blob, mark in zip(blobs, marks, strict=True):
+            if not mark:
+                shared = shared + np.bincount(np.frombuffer(blob, np.uint16), minlength=len(ids))
+        return pa.table([pa.array(ids[shared >= _least_shared(n, similarity)])], ["row"])
+
+    own = F.when(F.col("bucket") < 0, F.col("batch")).otherwise(0)  # what a batch holds passes through by itself
+    answers = map_arrow(rows.select("row", "text"), deal, schema).groupBy("bucket", own.alias("own")).applyInArrow(
+        meet, "batch long, tokens binary, info boolean")
+    return answers.groupBy("batch").applyInArrow(count, "row long")
+
+
+def _firsts(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """row, n (shingles), place, token: the first shingles of each text that other texts have, too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
-
-        ranked = common.value
-        by_hash = np.argsort(ranked)
-        known = ranked[by_hash]
         for batch in batches:
-            out = [], [], [], []
-            for text in batch.column(1):
-                words = _split(text.as_py())
-                have = shingle_hashes(words, shingle)
-                is_common = np.zeros(len(have), bool)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, have), len(known) - 1)
-                    is_common = known[at] == have
-                rare = have[~is_common]
-                tail = ranked[np.sort(by_hash[at[is_common]])] if is_common.any() else have[:0]
-                first = np.concatenate([rare, tail])[:len(have) - int(np.ceil(similarity * len(have) - 1e-9)) + 1]
-                body = rare if len(rare) else have
-                least = [body[np.argmin(_mix(body * f))] for f in FACTORS]
-                for column, value in zip(out, (xxh64_intdigest(b" ".join(words), 42), len(have), np.array(least), first), strict=True):
-                    column.append(value)
-            node, n, least, first = out
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(n, pa.int32()),
-                pa.array([v.view(np.int64) for v in least], pa.list_(pa.int64())),
-                pa.array([v.view(np.int64) for v in first], pa.list_(pa.int64()))], ["row", "node", "n", "least", "prefix"])
-
-    return map_arrow(rows.select("row", "text"), run, "row long, node long, n int, least array<long>, prefix array<long>")
+            ids = batch.column(0).to_numpy()
+            for base, many, owner, token in shingle_tokens(batch.column(1), shingle):
+                order = np.lexsort((token, owner))
+                owner, token = owner[order], token[order]
+                new = np.r_[True, (owner[1:] != owner[:-1]) | (token[1:] != token[:-1])]
+                owner, token = owner[new], token[new]
+                n = np.bincount(owner, minlength=many)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[base:base + many][owner]), pa.array(n[owner].astype(np.int32)),
+                                                  pa.array(token.view(np.int64))], ["row", "n", "token"])
+
+    tokens = materialize(map_arrow(texts.select("row", "text"), run, "row long, n int, token long"), "tokens")
+    often = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    listed = tokens.join(often, "token").groupBy("row", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("listed"))
+    alone = F.col("n") - F.size("listed")  # these come first
+    wanted = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1 - alone
+    return listed.where(wanted > 0).select("row", "n", alone.alias("alone"), F.posexplode(F.slice("listed", F.lit(1), wanted.cast("int"))).alias("k", "first")).select(
+        "row", "n", (F.col("alone") + F.col("k")).cast("int").alias("place"), F.col("first.token").alias("token"))
 
 
 def _meetings(similarity: float):
-    """Pairs of nodes of different groups that share a shingle and whose sizes and places allow the similarity."""
+    """Pairs of rows of different groups that share a shingle and whose sizes and places allow the similarity."""
     overlap = similarity / (1 + similarity)
 
-    def pairs(token, n, place, group, node):
+    def pairs(token, n, place, group, row):
         starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
         mixed = np.minimum.reduceat(group, starts) != np.maximum.reduceat(group, starts)
         rows = np.flatnonzero(np.repeat(mixed, np.diff(np.r_[starts, len(token)])))
-        token, n, place, group, node = (c[rows] for c in (token, n, place, group, node))
+        token, n, place, group, row = (c[rows] for c in (token, n, place, group, row))
         left, d = np.arange(len(token)), 0
         while True:
             d += 1
@@ -148,7 +236,7 @@ def _meetings(similarity: float):
             most = np.minimum(n[left] - place[left], n[right] - place[right])
             meet = (group[left] != group[right]) & (most >= overlap * (n[left] + n[right]) - 1e-9)
             if meet.any():
-                a, b = node[left[meet]], node[right[meet]]
+                a, b = row[left[meet]], row[right[meet]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,13 +259,9 @@ def _meetings(similarity: float):
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs a, b of nodes whose shingles reach the similarity; ``texts`` has node, row and text tables."""
-    nodes, bodies = texts
-    need = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    need = _small(materialize(nodes.join(_small(materialize(need, "ends")), "node").select("row", "node"), "end-rows"))
-    body = materialize(bodies.join(need, "row").select("node", "text"), "end-texts")
-    both = pairs.join(body.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(
-        body.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+    """The pairs a, b of rows whose shingles reach the similarity."""
+    both = pairs.join(texts.select(F.col("row").alias("a"), F.col("text").alias("x")), "a").join(
+        texts.select(F.col("row").alias("b"), F.col("text").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,43 +275,48 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: flo
     return materialize(map_arrow(both.select("a", "b", "x", "y"), run, "a long, b long"), "near-links")
 
 
-def _groups(rows: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """row and node of every row, and node and component of every node with a link."""
-    found = materialize(_prefixes(rows, shingle, similarity), "prefixes")
-    firsts = found.groupBy("node").agg(F.min("row").alias("first"), F.count("*").alias("rows")).where("rows > 1")
-    spare = materialize(found.select("row", "node").join(_small(materialize(firsts, "repeated")), "node").where("row <> first").select("row"), "spare-rows")
-    once = found.join(_small(spare), "row", "left_anti")
-    texts = once.select("row", "node"), rows.select("row", "text")
-
-    least = once.select("node", "n", F.posexplode("least").alias("k", "token"))
-    heads = least.groupBy("k", "token").agg(F.min(F.struct("node", "n")).alias("head"), F.count("*").alias("nodes")).where("nodes > 1")
-    stars = least.join(_small(materialize(heads.select("k", "token", "head"), "heads")), ["k", "token"]).where(
-        (F.col("node") != F.col("head.node")) & (F.least("n", "head.n") >= similarity * F.greatest("n", "head.n") - 1e-9))
-    stars = materialize(stars.select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    links = _confirmed(stars, texts, shingle, similarity)
-
-    named = materialize(connected_components(links), "star-groups")
-    spread = once.join(_small(named), "node", "left").select(
-        F.posexplode("prefix").alias("place", "token"), "n", F.coalesce("component", "node").alias("group"), "node")
-    spread = spread.select("token", "n", "place", "group", "node").repartition("token").sortWithinPartitions("token", "n")
+def similar_groups(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 3) -> DataFrame:
+    """row and component (its smallest row) of every row that links reach; ``rows`` has unique longs
+    ``row`` and ``text``, and must give the same rows each time it is read."""
+    some = materialize(sharing_rows(rows, shingle, similarity), "sharing-rows")
+    body = F.trim(F.regexp_replace(ascii_lower(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+", " "))
+    texts = materialize(rows.join(_small(some), "row").select("row", "text", F.sha2(body, 256).alias("digest")), "sharing-texts")
+    firsts = texts.groupBy("digest").agg(F.min("row").alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    equal = materialize(texts.select("row", "digest").join(_small(firsts), "digest").where("row <> first").select(
+        F.col("first").alias("a"), F.col("row").alias("b")), "equal-texts")
+    once = texts.join(_small(equal.select(F.col("b").alias("row"))), "row", "left_anti").select("row", "text")
+
+    prints = materialize(fingerprints(once, "row", "text", shingle).select(F.col("doc_id").alias("row"), "fp"), "fingerprints")
+    named = materialize(prints.groupBy("fp").agg(F.min("row").alias("first")), "words")
+    forest = fingerprint_links(named, distance).join(named.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(
+        named.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    alike = prints.join(named, "fp").where("row <> first").select(F.col("first").alias("a"), F.col("row").alias("b"))
+    links = _confirmed(materialize(forest.union(alike).distinct(), "near-prints"), once, shingle, similarity)
+
+    grouped = materialize(connected_components(links), "print-groups")
+    spread = _firsts(once, shingle, similarity).join(_small(grouped.withColumnRenamed("node", "row")), "row", "left").select(
+        "token", "n", "place", F.coalesce("component", "row").alias("group"), "row")
+    spread = spread.repartition("token").sortWithinPartitions("token", "n")
     met = materialize(map_arrow(spread, _meetings(similarity), "a long, b long").distinct(), "meetings")
-    links = links.union(_confirmed(met, texts, shingle, similarity))
-    return found.select("row", "node"), materialize(connected_components(links), "similar-groups")
+    links = links.union(_confirmed(met, once, shingle, similarity)).union(equal)
+    return materialize(connected_components(links), "similar-groups").select(F.col("node").alias("row"), "component")
 
 
-def drop_similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8,
+                     distance: int = 3) -> DataFrame:
     """One row of each group, with all columns: that of the smallest id (null ids lose to any other).
 
     Rows are linked if the Jaccard similarity of their sets of ``shingle`` words (A-Z in lower case) is
-    ``similarity`` or more, and groups are what links reach. Null and wordless texts are equal. Rows
-    count by themselves: an id may repeat or be null.
+    ``similarity`` or more, and groups are what links reach. ``distance`` is that of the fingerprints
+    searched first; it changes the work, not the result. Null and wordless texts are equal. Rows count by
+    themselves: an id may repeat or be null. An empty table gives an empty one.
     """
     row, = unused(docs, "row")
     kept = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     rows = kept.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    nodes, groups = _groups(rows, shingle, similarity)
-    own = rows.select("row", "doc_id").join(nodes, "row").join(_small(groups), "node", "left").select(
-        "row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row").alias("key"), F.coalesce("component", "node").alias("component"))
-    best = own.groupBy("component").agg(F.min("key").alias("best"), F.count("*").alias("rows")).where("rows > 1")
+    groups = similar_groups(rows, shingle, similarity, distance)
+    own = rows.select("row", "doc_id").join(_small(groups), "row").select(
+        "row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row").alias("key"), "component")
+    best = own.groupBy("component").agg(F.min("key").alias("best"))
     gone = own.join(_small(materialize(best, "kept-rows")), "component").where(F.col("row") != F.col("best.row")).select(F.col("row").alias(row))
     return kept.join(_small(materialize(gone, "similar-copies")), row, "left_anti").drop(row)

@@ -2,7 +2,7 @@ import random
 
 import corpus_pipeline
 
-from featspark.llm.similar_copies import drop_similar_copies
+from featspark.llm.similar_copies import drop_near_copies
 
 SHINGLE = 5
 
@@ -37,7 +37,7 @@ def brute(rows):
 def check(docs):
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
     want, _ = brute(rows)
-    out = drop_similar_copies(docs)
+    out = drop_near_copies(docs)
     assert out.columns == docs.columns
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in out.collect()) == want
 
@@ -79,5 +79,5 @@ def test_rows_count_by_themselves(spark):
     text = " ".join(f"w{i}" for i in range(30))
     rows = [(1, text), (2, text), (2, "a clean text of its own"), (None, text), (None, "another clean text of its own"), (None, "another clean text of its own")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted((r["doc_id"] or -1, r["text"]) for r in drop_similar_copies(docs).collect())
+    got = sorted((r["doc_id"] or -1, r["text"]) for r in drop_near_copies(docs).collect())
     assert got == sorted([(1, text), (2, "a clean text of its own"), (-1, "another clean text of its own")])
