@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Set only where the session names no shared folder, as in tests.
+#: Set only where a session on one machine names no shared folder, as in tests.
 LOCAL_SCRATCH = "/tmp/checkpoints/featspark"
 
 #: Fixed value: the separators between words.
@@ -16,9 +16,11 @@ SPACE = " \t\n\x0b\x0c\r"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share."""
+    """A new path in the folder that driver and executors share; a cluster must name it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = LOCAL_SCRATCH
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -53,17 +55,3 @@ def unused(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
-
-
-#: Most rows and bytes of a batch between the JVM and Python: documents can be long.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
-
-
-def map_arrow(df: DataFrame, work, schema) -> DataFrame:
-    """``mapInArrow`` in batches that stay small whatever the rows hold; a smaller setting of the session stays."""
-    conf = df.sparkSession.conf
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = conf.get(key)
-        if not (now.isdigit() and 0 < int(now) <= most):
-            conf.set(key, str(most))
-    return df.mapInArrow(work, schema)

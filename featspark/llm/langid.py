@@ -16,7 +16,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import map_arrow
 
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 UNKNOWN = "und"
@@ -63,12 +62,21 @@ def fit_language_id(labelled: DataFrame, text_col: str = "text", lang_col: str =
 
 def classifier(model: LanguageModel):
     """The function from text to (language, margin)."""
+    return _classifier(*_plain(model))
+
+
+def _plain(model: LanguageModel) -> tuple[dict[str, bytes], int, int]:
+    """The model in built-in types: a broadcast is unpickled by executors that may lack this package."""
+    return dict(model.dictionaries), model.level, model.block
+
+
+def _classifier(dictionaries: dict[str, bytes], level: int, block: int):
     import zstandard
 
     coders = []
-    for lang, data in sorted(model.dictionaries.items()):
+    for lang, data in sorted(dictionaries.items()):
         params = zstandard.ZstdCompressionParameters.from_level(
-            model.level, source_size=model.block, dict_size=len(data), min_match=3,
+            level, source_size=block, dict_size=len(data), min_match=3,
             write_checksum=False, write_content_size=False, write_dict_id=False)
         words = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         words.precompute_compress(compression_params=params)
@@ -81,7 +89,7 @@ def classifier(model: LanguageModel):
         if not letters or not (letters[0].isalpha() or any(map(str.isalpha, letters))):
             return UNKNOWN, 0.0
         data = letters.encode()
-        blocks = [data[i:i + model.block] for i in range(0, len(data), model.block)]
+        blocks = [data[i:i + block] for i in range(0, len(data), block)]
         sizes = sorted((sum(len(pack(b)) for b in blocks), lang) for lang, pack in coders)
         return sizes[0][1], 1.0 if len(sizes) == 1 else 1 - sizes[0][0] / sizes[1][0]
 
@@ -96,32 +104,36 @@ def predict_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_i
     the model is empty. A margin under ``min_margin`` rejects, the prediction stays. Equal sizes go to
     the first language in order. Whole texts are read, whatever their length; other columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: dict_bytes a language
+    shared = docs.sparkSession.sparkContext.broadcast(_plain(model))  # bounded: dict_bytes a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classify = classifier(shared.value)
+        classify = _classifier(*shared.value)
         for batch in batches:
             found = [classify(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()),
                                               pa.array([f[1] for f in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return map_arrow(rows, run, "doc_id long, lang_pred string, score double").withColumn(
+    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double").withColumn(
         "rejected", (F.col("lang_pred") == UNKNOWN) | (F.col("score") < min_margin))
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, min_margin: float = 0.002) -> DataFrame:
-    """The rows whose language is accepted, with their columns as they are; columns may be any."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """The rows whose language is accepted, with their columns as they are, whatever these are called.
+
+    Rows of null, empty or letterless text go, and all rows if the model is empty; null ids and repeated
+    rows are rows like any other; an empty table gives an empty one.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(_plain(model))  # bounded: dict_bytes a language
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classify = classifier(shared.value)
+        classify = _classifier(*shared.value)
         for batch in batches:
             found = (classify(t.as_py()) for t in batch.column(at))
             yield batch.filter(pa.array([lang != UNKNOWN and score >= min_margin for lang, score in found], pa.bool_()))
 
-    return map_arrow(docs, run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def held_out(id_col: str = "doc_id"):

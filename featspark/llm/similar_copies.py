@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ascii_lower, map_arrow, materialize, unused
+from ._common import ascii_lower, materialize, unused
 from .components import connected_components
 from .simhash import fingerprint_links, fingerprints
 
@@ -186,7 +186,7 @@ def sharing_rows(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
         return pa.table([pa.array(ids[shared >= _least_shared(n, similarity)])], ["row"])
 
     own = F.when(F.col("bucket") < 0, F.col("batch")).otherwise(0)  # what a batch holds passes through by itself
-    answers = map_arrow(rows.select("row", "text"), deal, schema).groupBy("bucket", own.alias("own")).applyInArrow(
+    answers = rows.select("row", "text").mapInArrow(deal, schema).groupBy("bucket", own.alias("own")).applyInArrow(
         meet, "batch long, tokens binary, info boolean")
     return answers.groupBy("batch").applyInArrow(count, "row long")
 
@@ -206,7 +206,7 @@ def _firsts(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids[base:base + many][owner]), pa.array(n[owner].astype(np.int32)),
                                                   pa.array(token.view(np.int64))], ["row", "n", "token"])
 
-    tokens = materialize(map_arrow(texts.select("row", "text"), run, "row long, n int, token long"), "tokens")
+    tokens = materialize(texts.select("row", "text").mapInArrow(run, "row long, n int, token long"), "tokens")
     often = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     listed = tokens.join(often, "token").groupBy("row", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("listed"))
     alone = F.col("n") - F.size("listed")  # these come first
@@ -272,7 +272,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: flo
                 near.append(shared >= similarity * (len(one) + len(other) - shared) - 1e-9)
             yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
 
-    return materialize(map_arrow(both.select("a", "b", "x", "y"), run, "a long, b long"), "near-links")
+    return materialize(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "near-links")
 
 
 def similar_groups(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 3) -> DataFrame:
@@ -297,7 +297,7 @@ def similar_groups(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, d
     spread = _firsts(once, shingle, similarity).join(_small(grouped.withColumnRenamed("node", "row")), "row", "left").select(
         "token", "n", "place", F.coalesce("component", "row").alias("group"), "row")
     spread = spread.repartition("token").sortWithinPartitions("token", "n")
-    met = materialize(map_arrow(spread, _meetings(similarity), "a long, b long").distinct(), "meetings")
+    met = materialize(spread.mapInArrow(_meetings(similarity), "a long, b long").distinct(), "meetings")
     links = links.union(_confirmed(met, once, shingle, similarity)).union(equal)
     return materialize(connected_components(links), "similar-groups").select(F.col("node").alias("row"), "component")
 

@@ -1,7 +1,8 @@
+import uuid
 from collections import defaultdict
 from hashlib import sha256
 
-from featspark.llm.exact_dedup import drop_exact_copies, new_index
+from featspark.llm.exact_dedup import DigestIndex, drop_exact_copies, first_decisions
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -10,12 +11,16 @@ def norm(text):
     return (text or "").translate(LOWER)
 
 
+def new_index(spark):
+    return DigestIndex(spark, f"index_{uuid.uuid4().hex}")
+
+
 def check(spark, docs):
     groups = defaultdict(list)
     rows = docs.select("doc_id", "text").collect()
     for r in rows:
         groups[norm(r["text"])].append(r["doc_id"])
-    got = new_index(spark).ingest(docs).collect()
+    got = first_decisions(docs).collect()
     assert len(got) == len(rows)
     by = {sha256(t.encode()).hexdigest(): ids for t, ids in groups.items()}
     for r in got:
@@ -47,3 +52,30 @@ def test_hot_group_and_kept_rows(spark, awkward, no_docs):
     assert out.count() == 4001 and out.where("text = 'Same text'").first()["doc_id"] == 5997
     assert drop_exact_copies(awkward).count() == len({norm(r["text"]) for r in awkward.select("text").collect()})
     assert drop_exact_copies(no_docs).count() == 0
+
+
+def test_a_batch_sent_again_gets_the_same_answer(spark):
+    index = new_index(spark)
+    rows = [(1, "A"), (2, "a"), (2, "a"), (3, "b"), (None, None)]
+    first = spark.createDataFrame(rows, "doc_id long, text string")
+    told = sorted(map(str, index.ingest(first, batch="one").collect()))
+    index.ingest(spark.createDataFrame([(9, "new")], "doc_id long, text string"), batch="two").collect()
+    again = spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(3)
+    assert sorted(map(str, index.ingest(again, batch="one").collect())) == told
+    assert spark.table(index.table).count() == 4
+    index.compact()
+    assert sorted(map(str, index.ingest(first, batch="one").collect())) == told
+    assert not any(r["kept"] for r in index.ingest(first, batch="three").collect())
+    index.drop()
+
+
+def test_equal_but_for_case_under_one_id(spark):
+    docs = spark.createDataFrame([(5, "Same Text here"), (5, "same text here"), (5, "other"), (None, "x"), (None, "X")], "doc_id long, text string")
+    assert sorted(norm(r["text"]) for r in drop_exact_copies(docs).collect()) == ["other", "same text here", "x"]
+
+
+def test_no_table_stays_behind(spark, documents):
+    before = {t.name for t in spark.catalog.listTables()}
+    drop_exact_copies(documents).count()
+    first_decisions(documents).count()
+    assert {t.name for t in spark.catalog.listTables()} == before
