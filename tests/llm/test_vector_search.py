@@ -6,7 +6,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from featspark.llm import vector_search
-from featspark.llm.vector_search import Page, top_k
+from featspark.llm.vector_search import bounds, quantise, top_k
 
 SCHEMA = "vec_id long, embedding array<float>, label int, v string, asked int"
 
@@ -32,6 +32,8 @@ def test_table(spark, monkeypatch):
     df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
     check(df, 50)
     monkeypatch.setattr(vector_search, "BLOCK", 7)
+    monkeypatch.setattr(vector_search, "PAGE", 16)
+    monkeypatch.setattr(vector_search, "SPAN", 2)
     check(df, 20)
 
 
@@ -52,12 +54,24 @@ def test_odd_rows(spark):
 
 def test_bounds_hold():
     rng = np.random.default_rng(5)
-    exact = np.floor(rng.normal(size=(500, 16)) * 100)
-    page = Page(np.arange(500), exact)
-    queries = np.floor(rng.normal(size=(20, 16)) * 100)
-    low, high = page.bounds(queries)
-    scores = queries @ exact.T
-    assert (low <= scores).all() and (scores <= high).all() and np.allclose(high - low, (np.abs(queries) @ (page.width - 1) + 1)[:, None])
+    for scale in (1, 100, 10 ** 6):
+        exact = np.floor(rng.normal(size=(500, 16)) * scale)
+        queries = np.floor(rng.normal(size=(20, 16)) * scale)
+        low, width, cells = quantise(exact)
+        assert cells.nbytes * 8 == exact.nbytes
+        middle, slack = bounds(queries, low, width, cells)
+        assert (np.abs(middle - queries @ exact.T) <= slack[:, None]).all()
+        assert np.allclose(slack, np.abs(queries) @ ((width - 1) / 2) + 0.5)
+
+
+def test_few_exact_vectors_are_read(spark, monkeypatch):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    read, plain = [], vector_search.exact_scores
+    monkeypatch.setattr(vector_search, "exact_scores", lambda some, rows, asked: read.append(some.count()) or plain(some, rows, asked))
+    asked = F.col("vec_id") % 50 == 0
+    queries = df.where(asked).count()
+    assert top_k(df, asked).count() == 5 * queries
+    assert sum(read) < 0.05 * queries * df.count()
 
 
 def test_huge_components_lose_no_row(spark):
