@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import string
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,12 +28,37 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+#: Most rows and bytes of a batch between the JVM and Python while a table is written: documents can be long.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of at most ``BATCH``; afterwards the session has its own settings again."""
+    before = {k: spark.conf.get(k) for k in BATCH}
+    try:
+        for key, most in BATCH.items():
+            if not 0 < int(before[key].rstrip("b") if before[key].rstrip("b").isdigit() else 0) <= most:
+                spark.conf.set(key, str(most))
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+#: Rows of narrow tables that make a file, where their number is known.
+FILE_ROWS = 250_000
+
+
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends here, and losing
-    an executor later costs no recomputation."""
+    an executor later costs no recomputation. ``rows``, if it is known that there are hardly more and
+    that what they come from is as small, keeps a small table to few files."""
     spark = df.sparkSession
+    df = df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

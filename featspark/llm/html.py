@@ -3,8 +3,9 @@
 A tolerant scanner builds the tree of block elements. Navigation, adverts, forms, comments and the
 like are cut by tag, role, class or id. Each remaining block of text earns points for its length and
 commas, less its share of link text, and passes them to its ancestors in falling parts. The element
-with most points, discounted by its own link density, is the container; siblings that score alike or
-read like prose are kept with it.
+with most points, discounted by its own link density, is the container, widened to the article or main
+element around it if there is one; siblings that are not mostly links are kept with it. Time is linear
+in the page, whatever its tags.
 """
 
 from __future__ import annotations
@@ -38,15 +39,19 @@ CUT_WORDS = frozenset(
     "pager pagination popup promo promoted promotion related recommended replies reply respond share sharing sidebar signup social "
     "sponsor sponsored sponsors subscribe subscription toolbar widget widgets".split())
 NEVER_CUT = frozenset("html body article main".split())
-PROSE = frozenset("blockquote dl h1 h2 h3 h4 h5 h6 ol p pre table ul".split())
 CONTAINERS = frozenset("article body center div html main section td".split())
 #: A start tag of the key closes an open element of the value, up to an element of SCOPE.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
           "option": {"option"}, "tbody": {"thead", "tbody"}, "tfoot": {"tbody"}}
 SCOPE = frozenset("ul ol dl table select article section div body html main td th".split())
+SHUT = frozenset().union(*CLOSES.values())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)[^>]*>|<[!?/][^>]*(?:>|\Z)", re.S)
+#: What may be left after the last ``>``: a comment or the like that never ends.
+COMMENT = re.compile(r"<(?:!--|[!?/]).*", re.S)
+#: The slash of an empty element, not the end of an unquoted value.
+SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/$")
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 MARKED = re.compile(r"class|id|role|hidden|style", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -78,7 +83,10 @@ class _Tree:
 
     def __init__(self, html: str):
         self.parent, self.tag, self.blocks = [-1], ["#root"], []
-        stack: list[tuple[str, int, bool, bool]] = [("#root", 0, False, False)]  # tag, block node, cut, in a link
+        # tag, block node, cut, in a link, place of the nearest block, place of the nearest element of SCOPE or SHUT
+        stack: list[tuple[str, int, bool, bool, int, int]] = [("#root", 0, False, False, 0, 0)]
+        open_tags: dict[str, int] = {}
+        last = html.rfind(">")
         parts: list[str] = []
         linked = 0
         at = 0
@@ -105,20 +113,21 @@ class _Tree:
             while len(stack) > depth:
                 if stack[-1][0] in BLOCK:
                     flush()
-                stack.pop()
+                open_tags[stack.pop()[0]] -= 1
 
-        while m := TOKEN.search(html, at):
+        while m := TOKEN.search(html, at, last + 1) or COMMENT.search(html, at):
             text_to(m.start())
             at = m.end()
+            if m.re is COMMENT or m[0].startswith("<!--") and not m[0].endswith("-->"):
+                at = len(html)  # a comment that never ends
+                break
             end, tag, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], "")
             if not tag:
                 continue
             tag = tag.lower()
             if end:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth][0] == tag:
-                        close_to(depth)
-                        break
+                if open_tags.get(tag):
+                    close_to(next(d for d in range(len(stack) - 1, 0, -1) if stack[d][0] == tag))
                 continue
             if tag in VOID:
                 if not stack[-1][2]:
@@ -128,20 +137,14 @@ class _Tree:
                 flush()
                 if stack[-1][0] == "head":
                     close_to(len(stack) - 1)
-                for depth in range(len(stack) - 1, 0, -1):
-                    name = stack[depth][0]
-                    if name == "p":
-                        close_to(depth)
-                        break
-                    if name in BLOCK:
-                        break
+                if stack[stack[-1][4]][0] == "p":
+                    close_to(stack[-1][4])
                 if shut := CLOSES.get(tag):
-                    for depth in range(len(stack) - 1, 0, -1):
-                        if stack[depth][0] in shut:
-                            close_to(depth)
-                            break
-                        if stack[depth][0] in SCOPE:
-                            break
+                    depth = stack[-1][5]
+                    while depth > 0 and stack[depth][0] not in shut and stack[depth][0] not in SCOPE:
+                        depth = stack[depth - 1][5]
+                    if depth > 0 and stack[depth][0] in shut:
+                        close_to(depth)
             cut = stack[-1][2] or _is_cut(tag, attrs)
             if tag in RAW:
                 shut_at = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
@@ -153,8 +156,10 @@ class _Tree:
                 node = len(self.tag) - 1
             else:
                 node = stack[-1][1]
-            if not attrs.endswith("/") or tag in BLOCK:
-                stack.append((tag, node, cut, stack[-1][3] or tag == "a"))
+            if tag in BLOCK or not SELF_CLOSED.search(attrs):
+                here = len(stack)
+                stack.append((tag, node, cut, stack[-1][3] or tag == "a", here if tag in BLOCK else stack[-1][4], here if tag in SCOPE or tag in SHUT else stack[-1][5]))
+                open_tags[tag] = open_tags.get(tag, 0) + 1
         text_to(len(html))
         flush()
 
@@ -169,16 +174,15 @@ def main_text(html: str | None) -> str:
     n = len(tree.tag)
     score, length, links = [0.0] * n, [0] * n, [0] * n
     for node, text, linked in tree.blocks:
-        points = (1 + text.count(",") + min(len(text) // 100, 3)) * (1 - linked / len(text))
-        up, level = (node if tree.tag[node] in CONTAINERS else tree.parent[node]), 0
-        while up >= 0:
-            score[up] += points if level == 0 else points / 2 if level == 1 else points / (3 * level)
-            up, level = tree.parent[up], level + 1
-        up = node
-        while up >= 0:
-            length[up] += len(text)
-            links[up] += linked
-            up = tree.parent[up]
+        length[node] += len(text)
+        links[node] += linked
+        up = node if tree.tag[node] in CONTAINERS else tree.parent[node]
+        score[up] += (1 + text.count(",") + min(len(text) // 100, 3)) * (1 - linked / len(text))
+    for i in range(n - 1, 0, -1):  # children come after parents
+        up = tree.parent[i]
+        score[up] += score[i] / 2
+        length[up] += length[i]
+        links[up] += links[i]
     density = [links[i] / length[i] if length[i] else 0.0 for i in range(n)]
     best = max(range(n), key=lambda i: (score[i] * (1 - density[i]), -i))
     for wanted in ("article", "main"):
@@ -188,13 +192,9 @@ def main_text(html: str | None) -> str:
         if up > 0:
             best = up
             break
-    top = score[best] * (1 - density[best])
     kept = {best}
     if best and tree.tag[best] not in ("main", "body", "html"):
-        for i in range(n):
-            if i != best and tree.parent[i] == tree.parent[best] and length[i] and (
-                    score[i] * (1 - density[i]) >= max(0.2 * top, 1e-9) or tree.tag[i] in PROSE and density[i] < 0.5):
-                kept.add(i)
+        kept.update(i for i in range(n) if tree.parent[i] == tree.parent[best] and length[i] and density[i] < 0.5)
     inside = [False] * n
     for i in range(n):  # parents come before children
         p = tree.parent[i]

@@ -3,8 +3,8 @@
 A token budget runs down a tree of domains, languages and sources by weight. A child that cannot use
 its share leaves the rest to its siblings, and only what a whole family cannot use goes back up. Each
 leaf then takes whole epochs of its documents and a token prefix of one more, in an order seeded by
-epoch. The prefix's end is found from sums by hash bucket and then inside one bucket, so no leaf is
-ever sorted in one task.
+epoch. The prefix's end is found from sums by hash bucket, then by bucket inside that bucket, so no leaf
+is ever sorted in one task.
 """
 
 from __future__ import annotations
@@ -20,10 +20,13 @@ from pyspark.sql import Window
 from ._common import materialize, unused, word_count
 
 LEVELS = ("domain", "lang", "source")
-#: Bits of the order key that make a bucket: a leaf's sums have at most 4096 rows.
-BUCKET_BITS = 12
+#: Bits of the order key that make a bucket, and how often the one at the prefix's end is cut again: a
+#: leaf's sums have at most 4096 rows, and one part in 16 million of it is ordered.
+BUCKET_BITS, BUCKET_LEVELS = 12, 2
 #: Leaves up to this number are broadcast; more are joined by shuffle.
 BROADCAST_LEAVES = 50_000
+#: Most leaves: their budgets are worked out on the driver.
+MOST_LEAVES = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -103,20 +106,28 @@ def with_leaf(docs: DataFrame, mix: Mix) -> dict[str, Column]:
 
 def plan_mix(docs: DataFrame, mix: Mix, budget: int | None, share: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """(tokens, plan): a row a document with leaf and word count, and a row a leaf with whole epochs and
-    the end of the prefix. ``budget`` None: ``share`` of the corpus. One row a leaf meets the driver."""
+    the end of the prefix. ``budget`` None: ``share`` of the corpus. One row a leaf meets the driver; over
+    ``MOST_LEAVES`` of them are an error."""
     spark = docs.sparkSession
     tokens = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[c.alias(k) for k, c in with_leaf(docs, mix).items()],
                                      word_count(F.col("text")).alias("n_tokens")), "mix-tokens")
-    totals = {tuple(r[k] for k in LEVELS): r["n"] for r in tokens.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("n")).collect()}
+    leaves = tokens.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("n")).limit(MOST_LEAVES + 1).collect()
+    if len(leaves) > MOST_LEAVES:
+        raise ValueError(f"more than {MOST_LEAVES} leaves: group the sources")
+    totals = {tuple(r[k] for k in LEVELS): r["n"] for r in leaves}
     whole = int(sum(totals.values()) * Fraction(str(share))) if budget is None else budget
     rows = [(*leaf, *(divmod(given, totals[leaf]) if totals[leaf] else (0, 0)), given) for leaf, given in leaf_budgets(totals, whole, mix).items()]
     plan = spark.createDataFrame(rows, "domain string, lang string, source string, epochs long, rest long, budget long")
     keyed = tokens.join(_small(plan.where("rest > 0"), len(rows)), list(LEVELS)).withColumn("key", order_key(mix))
-    keyed = keyed.withColumn("bucket", F.shiftright("key", 64 - BUCKET_BITS))
-    sums = keyed.groupBy(*LEVELS, "rest", "bucket").agg(F.sum("n_tokens").alias("n"))
-    so_far = F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
-    edge = sums.withColumn("to", so_far).where("to >= rest and to - n < rest").select(*LEVELS, "bucket", (F.col("to") - F.col("n")).alias("base"))
-    inside = keyed.join(_small(edge, len(rows)), [*LEVELS, "bucket"]).groupBy(*LEVELS, "rest", "base", "key", "doc_id").agg(F.sum("n_tokens").alias("n"))
+    by_key = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    near = keyed.withColumn("base", F.lit(0).cast("long"))
+    for level in range(1, BUCKET_LEVELS + 1):  # the bucket in which the prefix ends, then the one inside it
+        bucket = F.shiftright("key", 64 - level * BUCKET_BITS).alias("bucket")
+        sums = near.groupBy(*LEVELS, "rest", "base", bucket).agg(F.sum("n_tokens").alias("n"))
+        edge = sums.withColumn("to", F.col("base") + F.sum("n").over(by_key)).where("to >= rest and to - n < rest").select(
+            *LEVELS, "bucket", (F.col("to") - F.col("n")).alias("base"))
+        near = keyed.withColumn("bucket", F.shiftright("key", 64 - level * BUCKET_BITS)).join(_small(materialize(edge, "mix-edges"), len(rows)), [*LEVELS, "bucket"])
+    inside = near.groupBy(*LEVELS, "rest", "base", "key", "doc_id").agg(F.sum("n_tokens").alias("n"))
     so_far = F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     cut = inside.withColumn("to", F.col("base") + so_far).where("to >= rest and to - n < rest").select(
         *LEVELS, F.col("key").alias("cut_key"), F.col("doc_id").alias("cut_id"), (F.col("rest") - F.col("to") + F.col("n")).alias("cut_tokens"))
@@ -160,7 +171,12 @@ def mix_documents(docs: DataFrame, mix: Mix, budget: int | None = None, share: f
 
 
 def keep_mixed(docs: DataFrame, mix: Mix, budget: int | None = None, share: float = 1.0) -> DataFrame:
-    """The documents taken, whole and with all columns, once for each time they are taken."""
+    """The documents taken, whole and with all columns, once for each time they are taken.
+
+    The document at the end of a leaf's prefix stays whole here, where ``mix_documents`` takes a part of it.
+    Null texts have no tokens, null languages and sources are leaves of their own; rows repeated with one
+    id are taken together; an empty table gives an empty one.
+    """
     _, plan = plan_mix(docs, mix, budget, share)
     leaf = list(unused(docs, *LEVELS))
     leaf_columns = with_leaf(docs, mix)

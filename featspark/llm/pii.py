@@ -44,6 +44,8 @@ CONTEXT = {"email": "mail|contact|write", "ip": r"\bip\b|address|server|host|log
 BASE = ("email", "ip", "card", "phone")
 KINDS = tuple(PATTERNS)
 CONTEXT_BEFORE, CONTEXT_AFTER = 40, 20
+#: Matches whose spans are gathered at once.
+RUN = 128
 #: Least characters from the start of a match to that of the next.
 SHORTEST = {"email": 5, "ip": 7, "card": 3, "phone": 4, "iban": 15, "ssn": 11}
 
@@ -89,8 +91,11 @@ def _valid(kind: str, m: Column) -> Column:
 
 def _spans(kind: str, pieces: Column, matches: Column) -> Column:
     """Confirmed spans of a kind, in order, from what ``split`` and ``regexp_extract_all`` gave."""
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.lit("").alias("tail"),
-                     F.expr("cast(array() as array<struct<kind:string,start:int,end:int,score:double>>)").alias("out"))
+    spans = "array<struct<kind:string,start:int,end:int,score:double>>"
+
+    def state(at, i, tail, kind_of):
+        return F.struct(at.alias("at"), i.alias("i"), tail.alias("tail"), F.expr(f"cast(array() as {kind_of})").alias("out"))
+
     alone, near, least = SCORES[kind]
 
     def step(acc, m):
@@ -107,7 +112,13 @@ def _spans(kind: str, pieces: Column, matches: Column) -> Column:
         tail = F.right(F.concat(seen, F.right(m, F.lit(CONTEXT_BEFORE))), F.lit(CONTEXT_BEFORE))
         return F.struct(end.alias("at"), (acc["i"] + 1).alias("i"), tail.alias("tail"), out.alias("out"))
 
-    return F.aggregate(matches, start, step, lambda acc: acc["out"])
+    def run(acc, first):
+        got = F.aggregate(F.slice(matches, first, F.lit(RUN)), state(acc["at"], acc["i"], acc["tail"], spans), step)
+        return F.struct(got["at"].alias("at"), got["i"].alias("i"), got["tail"].alias("tail"), F.concat(acc["out"], F.array(got["out"])).alias("out"))
+
+    # an array that grows by one span is copied for each: runs keep the copies short
+    runs = F.sequence(F.lit(1), F.size(matches), F.lit(RUN))
+    return F.flatten(F.aggregate(runs, state(F.lit(0), F.lit(0), F.lit(""), f"array<{spans}>"), run, lambda acc: acc["out"]))
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,9 +4,11 @@ A text can only have a near copy if most of its shingles stand in other texts to
 learns how many of its shingles it shares: shingle hashes are dealt to buckets in packed blobs, a blob a
 batch of texts and bucket, and the buckets answer with the texts whose shingles come from two batches.
 Few texts are left. Those get SimHash fingerprints, and the Gray-order index links the nearest of them,
-which joins most of a large group without its pairs. Links beyond the index's reach come from a prefix
+which joins the closest of a group without its pairs. Links beyond the index's reach come from a prefix
 filter: shingles get one order, rare ones first, and texts whose similarity reaches the bound share one
-of the first of both. A pair counts once the shingles themselves, not their hashes, reach the bound.
+of the first of both. Of the texts with such a shingle some are held against the others, and only those
+that are in different groups after that make pairs. A pair counts once the shingles themselves, not
+their hashes, reach the bound.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import ascii_lower, materialize, unused
@@ -24,6 +26,10 @@ from .simhash import fingerprint_links, fingerprints
 
 #: Shingles that a bucket holds about, up to 65,536 buckets, and bytes of text hashed at once.
 BUCKET_TOKENS, CHUNK_BYTES = 1 << 21, 1 << 21
+#: Rounds that hold the rows of a shingle against some of them, and these in a round, before rows of different groups make pairs.
+STAR_ROUNDS, HEADS = 2, 8
+#: Bits of a text's parities: each shingle that one of two texts lacks turns one of them.
+BITS = 512
 #: Most rows of a broadcast table.
 BROADCAST_ROWS = 1 << 20
 #: In place of a text's number in a blob: its batch holds the shingle in several texts.
@@ -192,7 +198,8 @@ def sharing_rows(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
 
 
 def _firsts(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """row, n (shingles), place, token: the first shingles of each text that other texts have, too."""
+    """row, n (shingles), place, token, bits: the first shingles of each text that other texts have, too, and
+    the parity of all its shingles by ``BITS`` parts of the hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,27 +210,58 @@ def _firsts(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
                 new = np.r_[True, (owner[1:] != owner[:-1]) | (token[1:] != token[:-1])]
                 owner, token = owner[new], token[new]
                 n = np.bincount(owner, minlength=many)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[base:base + many][owner]), pa.array(n[owner].astype(np.int32)),
-                                                  pa.array(token.view(np.int64))], ["row", "n", "token"])
-
-    tokens = materialize(texts.select("row", "text").mapInArrow(run, "row long, n int, token long"), "tokens")
+                odd = np.bincount(owner * BITS + (token % np.uint64(BITS)).astype(np.int64), minlength=many * BITS).reshape(many, BITS) & 1
+                some = ids[base:base + many]
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n.astype(np.int32)), pa.nulls(many, pa.int64()),
+                                                  pa.array([x.tobytes() for x in np.packbits(odd.astype(np.uint8), axis=1)], pa.binary())], ["row", "n", "token", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array(some[owner]), pa.array(n[owner].astype(np.int32)), pa.array(token.view(np.int64)),
+                                                  pa.nulls(len(token), pa.binary())], ["row", "n", "token", "bits"])
+
+    both = materialize(texts.select("row", "text").mapInArrow(run, "row long, n int, token long, bits binary"), "tokens")
+    tokens, bits = both.where("token is not null").select("row", "n", "token"), both.where("token is null").select("row", "bits")
     often = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     listed = tokens.join(often, "token").groupBy("row", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("listed"))
     alone = F.col("n") - F.size("listed")  # these come first
     wanted = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1 - alone
-    return listed.where(wanted > 0).select("row", "n", alone.alias("alone"), F.posexplode(F.slice("listed", F.lit(1), wanted.cast("int"))).alias("k", "first")).select(
+    firsts = listed.where(wanted > 0).select("row", "n", alone.alias("alone"), F.posexplode(F.slice("listed", F.lit(1), wanted.cast("int"))).alias("k", "first")).select(
         "row", "n", (F.col("alone") + F.col("k")).cast("int").alias("place"), F.col("first.token").alias("token"))
+    return firsts.join(bits, "row")
+
+
+def _in_groups(firsts: DataFrame, links: DataFrame) -> DataFrame:
+    """``firsts`` with the group of each row by the links so far."""
+    grouped = materialize(connected_components(links), "groups-so-far")
+    return firsts.join(_small(grouped.withColumnRenamed("node", "row")), "row", "left").withColumn("group", F.coalesce("component", "row")).drop("component")
+
+
+def _may_reach(similarity: float, n, place, other_n, other_place) -> Column:
+    """Whether the sizes of two texts, and the places of a shingle they share first, allow the similarity."""
+    return (F.least(n, other_n) >= similarity * F.greatest(n, other_n) - 1e-9) & (
+        F.least(n - place, other_n - other_place) >= similarity / (1 + similarity) * (n + other_n) - 1e-9)
+
+
+def _stars(spread: DataFrame, seed: int, similarity: float) -> DataFrame:
+    """Pairs a, b of rows of different groups: of the rows that share a first shingle, ``HEADS`` with each
+    other. They are the rows of the lowest hashes, so shingles of one group mostly have the same ones, and
+    a large group is joined without its pairs."""
+    def first(k: int) -> Column:
+        return F.min(F.struct(F.xxhash64(F.lit(seed * HEADS + k), "row").alias("draw"), F.struct("row", "n", "place", "group").alias("head")))["head"]
+
+    heads = spread.groupBy("token").agg(F.array_distinct(F.array(*map(first, range(HEADS)))).alias("heads"), (F.min("group") != F.max("group")).alias("mixed")).where("mixed")
+    met = spread.join(heads.select("token", "heads"), "token").select("*", F.explode("heads").alias("head")).where(
+        (F.col("group") != F.col("head.group")) & _may_reach(similarity, F.col("n"), F.col("place"), F.col("head.n"), F.col("head.place")))
+    return met.select(F.least("row", "head.row").alias("a"), F.greatest("row", "head.row").alias("b")).distinct()
 
 
 def _meetings(similarity: float):
-    """Pairs of rows of different groups that share a shingle and whose sizes and places allow the similarity."""
+    """Pairs of rows of different groups that share a shingle and whose sizes, places and parities allow the similarity."""
     overlap = similarity / (1 + similarity)
 
-    def pairs(token, n, place, group, row):
+    def pairs(token, n, place, group, row, bits):
         starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
         mixed = np.minimum.reduceat(group, starts) != np.maximum.reduceat(group, starts)
         rows = np.flatnonzero(np.repeat(mixed, np.diff(np.r_[starts, len(token)])))
-        token, n, place, group, row = (c[rows] for c in (token, n, place, group, row))
+        token, n, place, group, row, bits = (c[rows] for c in (token, n, place, group, row, bits))
         left, d = np.arange(len(token)), 0
         while True:
             d += 1
@@ -235,8 +273,11 @@ def _meetings(similarity: float):
             right = left + d
             most = np.minimum(n[left] - place[left], n[right] - place[right])
             meet = (group[left] != group[right]) & (most >= overlap * (n[left] + n[right]) - 1e-9)
-            if meet.any():
-                a, b = row[left[meet]], row[right[meet]]
+            x, y = left[meet], right[meet]
+            apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)  # shingles in one of the two, at least
+            near = n[x] + n[y] - apart >= 2 * overlap * (n[x] + n[y]) - 1e-9
+            if near.any():
+                a, b = row[x[near]], row[y[near]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,7 +285,7 @@ def _meetings(similarity: float):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [c.to_numpy() for c in batch.columns]
+            now = [*(c.to_numpy() for c in batch.columns[:-1]), np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(-1, BITS // 64)]
             if held and held[-1][0][-1] == now[0][0] == now[0][-1]:
                 held.append(now)
                 continue
@@ -293,10 +334,12 @@ def similar_groups(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, d
     alike = prints.join(named, "fp").where("row <> first").select(F.col("first").alias("a"), F.col("row").alias("b"))
     links = _confirmed(materialize(forest.union(alike).distinct(), "near-prints"), once, shingle, similarity)
 
-    grouped = materialize(connected_components(links), "print-groups")
-    spread = _firsts(once, shingle, similarity).join(_small(grouped.withColumnRenamed("node", "row")), "row", "left").select(
-        "token", "n", "place", F.coalesce("component", "row").alias("group"), "row")
-    spread = spread.repartition("token").sortWithinPartitions("token", "n")
+    firsts = materialize(_firsts(once, shingle, similarity), "first-shingles")
+    spread = _in_groups(firsts, links)
+    for seed in range(STAR_ROUNDS):
+        links = links.union(_confirmed(materialize(_stars(spread, seed, similarity), "stars"), once, shingle, similarity))
+        spread = _in_groups(firsts, links)
+    spread = spread.select("token", "n", "place", "group", "row", "bits").repartition("token").sortWithinPartitions("token", "n")
     met = materialize(spread.mapInArrow(_meetings(similarity), "a long, b long").distinct(), "meetings")
     links = links.union(_confirmed(met, once, shingle, similarity)).union(equal)
     return materialize(connected_components(links), "similar-groups").select(F.col("node").alias("row"), "component")

@@ -1,10 +1,13 @@
-"""A small sandboxed template language: text, ``{{ expression }}``, ``{% for x in e %}``, ``{% if e %}``
-with ``elif`` and ``else``, ``{% generation %}``; each block ends with ``{% end... %}``.
+"""A small sandboxed template language: text, ``{{ expression }}``, ``{# comment #}``, ``{% set x = e %}``,
+``{% for x in e %}``, ``{% if e %}`` with ``elif`` and ``else``, ``{% generation %}``; each block ends with
+``{% end... %}``. A minus inside a tag, as in ``{%-`` or ``-}}``, takes the white space away on its side.
 
 Source is parsed to a syntax tree, constants are folded, and the tree becomes Python closures. Names
-reach only the given variables and keys of mappings, so a template cannot touch Python objects.
-Expressions: strings, integers, names, ``a.b``, ``a['b']``, ``not and or``, ``== != in``, ``+``,
-parentheses and filters ``a | upper``.
+reach only the given variables, keys of mappings and places of lists, so a template cannot touch Python
+objects. What is not there is false in a condition; to write it or to use it otherwise is an error. Expressions:
+strings, integers, names, ``a.b``, ``a['b']``, ``a[0]``, ``not and or``, ``== != in``, ``is defined``, ``+``,
+``a if c else b``, parentheses and filters ``a | upper``. Inside a loop ``loop`` has index, index0, first,
+last and length. A variable set inside a loop ends with the round.
 """
 
 from __future__ import annotations
@@ -14,13 +17,27 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
-TAG = re.compile(r"\{%-?\s*(.*?)\s*-?%\}|\{\{\s*(.*?)\s*\}\}", re.S)
+QUOTED = r""" "(?:[^"\\]|\\.)*+"|'(?:[^'\\]|\\.)*+' """.strip()
+TAG = re.compile(rf"\{{%(-?)((?:{QUOTED}|(?!-?%\}}).)*+)(-?)%\}}|\{{\{{(-?)((?:{QUOTED}|(?!-?\}}\}}).)*+)(-?)\}}\}}|\{{#(-?).*?(-?)#\}}", re.S)
 LEXEME = re.compile(r"""\s*(?:("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|(\d+)|([A-Za-z_]\w*)|(==|!=|[()\[\].|+]))""", re.S)
 ESCAPES = {"n": "\n", "t": "\t"}
 
 
 class TemplateError(ValueError):
-    """The source is not a template."""
+    """The source is not a template, or it asks for what is not there."""
+
+
+class _Absent:
+    """The value of a name, key or place that is not there."""
+
+    def __init__(self, what: Any):
+        self.what = what
+
+    def __bool__(self) -> bool:
+        return False
+
+    def __iter__(self):
+        raise TemplateError(f"{self.what!r} is not defined")
 
 
 @dataclass(frozen=True)
@@ -70,11 +87,19 @@ class _Expression:
             raise TemplateError(f"{value!r} is missing")
 
     def whole(self) -> Node:
-        node = self.binary(0)
+        node = self.choice()
         if self.at < len(self.items):
             raise TemplateError(f"unexpected {self.items[self.at][1]!r}")
         return node
 
+    def choice(self) -> Node:
+        node = self.binary(0)
+        if self.take("if"):
+            test = self.binary(0)
+            other = self.choice() if self.take("else") else Node("constant", "")
+            node = Node("if", None, (test, node, other))
+        return node
+
     LEVELS = (("or",), ("and",), ("==", "!=", "in"), ("+",))
 
     def binary(self, level: int) -> Node:
@@ -85,6 +110,11 @@ class _Expression:
         node = self.binary(level + 1)
         while op := self.take(*self.LEVELS[level]):
             node = Node("binary", op, (node, self.binary(level + 1)))
+        if level == 2 and self.take("is"):
+            absent = bool(self.take("not"))
+            self.need("defined")
+            node = Node("defined", None, (node,))
+            node = Node("not", None, (node,)) if absent else node
         return node
 
     def piped(self) -> Node:
@@ -93,7 +123,7 @@ class _Expression:
             if self.take("."):
                 node = Node("key", None, (node, Node("constant", self.name())))
             elif self.take("["):
-                node = Node("key", None, (node, self.binary(0)))
+                node = Node("key", None, (node, self.choice()))
                 self.need("]")
             elif self.take("|"):
                 node = Node("filter", self.name(), (node,))
@@ -108,7 +138,7 @@ class _Expression:
 
     def atom(self) -> Node:
         if self.take("("):
-            node = self.binary(0)
+            node = self.choice()
             self.need(")")
             return node
         if self.at >= len(self.items):
@@ -127,16 +157,29 @@ class _Expression:
 def parse(source: str) -> Node:
     """The syntax tree of a template."""
     frames: list[tuple[str, Any, list]] = [("root", None, [])]
-    at = 0
+    at, trim = 0, False
+
+    def text(piece: str, left: bool, right: bool) -> None:
+        piece = piece.lstrip() if left else piece
+        piece = piece.rstrip() if right else piece
+        if piece:
+            frames[-1][2].append(Node("write", None, (Node("constant", piece),)))
+
     for m in TAG.finditer(source):
-        if m.start() > at:
-            frames[-1][2].append(Node("write", None, (Node("constant", source[at:m.start()]),)))
-        at = m.end()
-        if m[2] is not None:
-            frames[-1][2].append(Node("write", None, (_Expression(m[2]).whole(),)))
+        text(source[at:m.start()], trim, "-" in (m[1], m[4], m[7]))
+        at, trim = m.end(), "-" in (m[3], m[6], m[8])
+        if m[7] is not None:
             continue
-        word, _, rest = m[1].partition(" ")
-        if word == "for":
+        if m[5] is not None:
+            frames[-1][2].append(Node("write", None, (_Expression(m[5]).whole(),)))
+            continue
+        word, _, rest = m[2].strip().partition(" ")
+        if word == "set":
+            name, middle, of = rest.partition("=")
+            if not middle or not name.strip().isidentifier():
+                raise TemplateError(f"bad variable {rest!r}")
+            frames[-1][2].append(Node("set", name.strip(), (_Expression(of).whole(),)))
+        elif word == "for":
             name, middle, of = rest.strip().partition(" in ")
             if not middle or not name.strip().isidentifier():
                 raise TemplateError(f"bad loop {rest!r}")
@@ -160,15 +203,16 @@ def parse(source: str) -> Node:
             block = Node("block", None, tuple(body))
             frames[-1][2].append(Node("for", value[0], (value[1], block)) if kind == "for" else Node("generation", None, (block,)))
         else:
-            raise TemplateError(f"unexpected tag {m[1]!r}")
+            raise TemplateError(f"unexpected tag {m[2].strip()!r}")
     if len(frames) > 1:
         raise TemplateError(f"{frames[-1][0]!r} is not ended")
-    if source[at:]:
-        frames[0][2].append(Node("write", None, (Node("constant", source[at:]),)))
+    text(source[at:], trim, False)
     return Node("block", None, tuple(frames[0][2]))
 
 
 def _text(value: Any) -> str:
+    if isinstance(value, _Absent):
+        raise TemplateError(f"{value.what!r} is not defined")
     return "" if value is None else str(value)
 
 
@@ -178,7 +222,7 @@ def _binary(op: str, a: Any, b: Any) -> Any:
     if op == "!=":
         return a != b
     if op == "in":
-        return b is not None and a in b
+        return bool(b) and a in b
     return a + b if isinstance(a, int) and isinstance(b, int) else _text(a) + _text(b)
 
 
@@ -195,6 +239,8 @@ def fold(node: Node, filters: dict[str, Callable]) -> Node:
             return below[1] if bool(below[0].value) == (node.value == "and") else below[0]
     elif fixed and node.kind == "binary":
         return Node("constant", _binary(node.value, below[0].value, below[1].value))
+    if node.kind == "if" and below[0].kind == "constant":
+        return below[1] if below[0].value else below[2]
     if fixed and node.kind == "filter":
         return Node("constant", filters[node.value](_text(below[0].value)))
     if node.kind == "choose":
@@ -225,12 +271,20 @@ def _value(node: Node, filters: dict[str, Callable]) -> Callable[[dict], Any]:
     if node.kind == "constant":
         return lambda env: v
     if node.kind == "name":
-        return lambda env: env.get(v)
+        return lambda env: env[v] if v in env else _Absent(v)
     if node.kind == "key":
         def key(env, a=parts[0], b=parts[1]):
-            got = a(env)
-            return got.get(b(env)) if isinstance(got, dict) else None
+            got, at = a(env), b(env)
+            if isinstance(got, dict) and at in got or isinstance(got, (list, tuple)) and type(at) is int and -len(got) <= at < len(got):
+                return got[at]
+            if isinstance(got, _Absent):
+                raise TemplateError(f"{got.what!r} is not defined")
+            return _Absent(at)
         return key
+    if node.kind == "defined":
+        return lambda env: not isinstance(parts[0](env), _Absent)
+    if node.kind == "if":
+        return lambda env: parts[1](env) if parts[0](env) else parts[2](env)
     if node.kind == "not":
         return lambda env: not parts[0](env)
     if node.kind == "filter":
@@ -256,6 +310,12 @@ def _action(node: Node, filters: dict[str, Callable]) -> Callable[[dict, Output]
             for step in steps:
                 step(env, out)
         return block
+    if node.kind == "set":
+        given = _value(node.below[0], filters)
+
+        def put(env, out, name=node.value):
+            env[name] = given(env)
+        return put
     if node.kind == "choose":
         cases = [(_value(x.below[0], filters), _action(x.below[1], filters)) for x in node.below]
 
@@ -275,9 +335,10 @@ def _action(node: Node, filters: dict[str, Callable]) -> Callable[[dict, Output]
     items, body, name = _value(node.below[0], filters), _action(node.below[1], filters), node.value
 
     def loop(env, out):
-        rows = list(items(env) or ())
+        held = items(env)
+        rows = [] if held is None else list(held)
         for i, row in enumerate(rows):
-            body({**env, name: row, "loop": {"index": i + 1, "first": i == 0, "last": i == len(rows) - 1}}, out)
+            body({**env, name: row, "loop": {"index": i + 1, "index0": i, "first": i == 0, "last": i == len(rows) - 1, "length": len(rows)}}, out)
     return loop
 
 

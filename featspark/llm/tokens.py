@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import os
+import sys
 from collections.abc import Callable
 
 #: The vocabulary's name, its end-of-text id and the spelling of its special token.
@@ -24,7 +25,15 @@ def tokenizer_paths(name: str = TOKENIZER) -> tuple[str, str]:
 
 
 def load_encoder(name: str = TOKENIZER) -> Callable[[str], list[int]]:
-    """The function from a text to its ids, without special tokens added."""
+    """The function from a text to its ids, without special tokens added; made once in a process. Tasks
+    get this module's functions by value, so the encoders are kept in the interpreter's own table."""
+    kept = sys.__dict__.setdefault("_featspark_encoders", {})
+    if name not in kept:
+        kept[name] = _make_encoder(name)
+    return kept[name]
+
+
+def _make_encoder(name: str) -> Callable[[str], list[int]]:
     import public_tokenizers
     import tiktoken
 

@@ -52,7 +52,24 @@ def test_template_language():
     assert run({"ms": [{"x": "q"}, {"x": "b"}, {"x": "c", "y": 1}]}) == ("<bC3", [])
     tree = fold(parse("a{% if 'x' == 'x' %}{{ 'b' | upper }}{% else %}{{ name }}{% endif %}c"), {"upper": str.upper})
     assert tree == Node("block", None, (Node("write", None, (Node("constant", "aBc"),)),))
-    assert compile_template("{{ a.__class__ }}{{ b.c }}")({"a": "x", "b": {"c": None}}) == ("", [])
+    assert compile_template("{{ b.c }}{{ 'x' if a.__class__ }}")({"a": "x", "b": {"c": None}}) == ("", [])
+
+
+def test_tags_as_in_common_templates():
+    def run(source, **given):
+        return compile_template(source)(given)[0]
+    assert run("a {%- if true -%} b {%- endif %} c") == "ab c"
+    assert run("x{# no {{ y }} #}z {{- 'q' -}}  w") == "xzqw"
+    assert run("{% for m in ms %}{{ loop.index0 }}{{ m[0] }}{{ ',' if not loop.last }}{% endfor %}", ms=[["a"], ["b"]]) == "0a,1b"
+    assert run("{% set x = 'a' + 'b' %}{{ x }}{{ 'y' if z is defined else 'n' }}{{ 'k' if x is not defined else 'l' }}") == "abnl"
+    assert run("{{ '%}' + \"}}\" }}") == "%}}}"
+    assert run("{% if no %}x{% endif %}{{ 1 if no == 'a' else 2 }}") == "2"
+
+
+@pytest.mark.parametrize("source", ["{{ y }}", "{{ m.k }}", "{{ m[3] }}", "{{ m.__class__ }}", "{{ y | upper }}", "{{ y + 'a' }}", "{% for a in y %}{% endfor %}", "{{ y.z }}"])
+def test_what_is_not_there_is_not_written(source):
+    with pytest.raises(TemplateError):
+        compile_template(source)({"m": {"a": 1}})
 
 
 @pytest.mark.parametrize("source", ["{% for x %}", "{% if a %}", "{% endif %}", "{{ }}", "{{ a | nope }}", "{{ a b }}", "{{ f(1) }}", "{% generation %}x"])

@@ -1,4 +1,5 @@
 import re
+import time
 from html import unescape
 
 import pytest
@@ -15,6 +16,12 @@ CASES = [
     ("<article><p>a &lt;b&gt; &#233;&nbsp;&eacute; &copy; x</p><noscript>no</noscript><div hidden>no</div><div style='display: none'>no</div></article>", "a <b> é é © x"),
     ("<article><p title='a > b'>in</p><unknown>kept</unknown></article>", "in kept"),
     ("<body><div class='layout has-sidebar no-comments'><div class=post><p>In, the, page.</p></div><div class='sidebar'><p>Side, side</p></div></div></body>", "In, the, page."),
+    ("<body><div id=top><a href=/x/>Home</a> <a href=/y/>News</a></div><section><p>Long first, with commas, and more, and more.</p></section><section><p>Short.</p></section></body>",
+     "Long first, with commas, and more, and more. Short."),
+    ("<body><table><tr><td>Menu</td><td><p>Some, long, text, in, a, cell.</p><p>And more.</p></td></tr></table></body>", "Menu Some, long, text, in, a, cell. And more."),
+    ("<div><div><p>Deep, deep, text, with, commas.</p></div><div><p>Its second part</p></div><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></div>", "Deep, deep, text, with, commas. Its second part"),
+    ("<div class=story><p>A, b, c.<!-- never > ended <p>x</p>", "A, b, c."),
+    ("<p>Empty <a name='x'/>anchor, here</p>", "Empty anchor, here"),
     ("", ""), (None, ""), ("<nav>only</nav>", ""), ("just text", "just text"), ("<", "<"), ("<p", "<p"),
 ]
 
@@ -39,3 +46,11 @@ def test_odd_tables(spark):
     got = extract_main_text(spark.createDataFrame(rows, schema)).collect()
     assert [(r["page_id"], r["n_chars"]) for r in got] == [(1, 0), (1, 0), (None, 299_999), (2, 4)]
     assert extract_main_text(spark.createDataFrame([], schema)).count() == 0
+
+
+@pytest.mark.parametrize("html", ["<a " * 300_000, "<div>" * 20_000 + "<p>x, y</p>" * 20_000, "<span>" * 20_000 + "<div>a</div>" * 20_000, "<div>" * 20_000 + "</b>" * 20_000,
+                                  "<a \"" * 200_000, "<!-- " * 200_000, "<li>" * 50_000, "<span>" * 20_000 + "<li>a" * 20_000, "<b><i>" * 20_000 + "</b>" * 20_000])
+def test_linear_time(html):
+    began = time.perf_counter()
+    main_text(html)
+    assert time.perf_counter() - began < 5

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from hashlib import sha256
 
 from featspark.llm.pii import find_pii, pii_digest
@@ -57,9 +58,12 @@ def test_random_text(spark):
 
 def test_long_texts_take_linear_time(spark):
     rows = [(0, "a" * 300_000), (1, "1" * 300_000), (2, "a.b" * 100_000 + "@"), (3, "+1" + "(" * 300_000), (4, "a@b" + ".c" * 100_000),
-            (5, "1." * 150_000), (6, "1 " * 150_000), (7, "x@y.zz " * 3000), (8, "AB12" * 50_000)]
+            (5, "1." * 150_000), (6, "1 " * 150_000), (7, "x@y.zz " * 3000), (8, "AB12" * 50_000), (9, "me@y.zz " * 40_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
+    began = time.perf_counter()
     got = {r["doc_id"]: r for r in pii_digest(docs).collect()}
+    assert time.perf_counter() - began < 60 and got[9]["n_email"] == 40_000
+    assert got[9]["spans"].endswith(f"email:{8 * 39_999}:{8 * 39_999 + 7}")
     assert got[7]["n_email"] == 3000 and got[4]["n_email"] == 1
     assert got[5]["n_ip"] == 37500
 

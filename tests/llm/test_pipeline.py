@@ -38,3 +38,25 @@ def test_one_query_for_each_operator(spark):
     names = list(queries())
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
     assert zlib.crc32(b"12") % 4 == spark.range(1).select(F.crc32(F.lit(12).cast("string")) % 4).first()[0]
+
+
+def test_stages_on_odd_tables(spark, documents, awkward, no_docs):
+    for docs in (awkward.unionByName(documents.select("doc_id", "text", "lang", "source"), allowMissingColumns=True), awkward, no_docs):
+        columns, rows = docs.columns, docs.count()
+        for _, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SF)
+            before, docs = docs, spark.createDataFrame(out.collect(), out.schema)
+            if stage is not corpus_pipeline.pack_sequences:
+                assert docs.columns == columns and docs.count() <= rows and docs.exceptAll(before).count() == 0
+                rows = docs.count()
+        assert docs.select("doc_id").distinct().count() == before.select("doc_id").distinct().count()
+
+
+def test_language_stage_keeps_rows_as_they_are(spark, documents, awkward, no_docs):
+    from featspark.llm.langid import keep_identified
+
+    model = fit_language_id(documents)
+    say = classifier(model)
+    want = sorted(str(r) for r in awkward.collect() if (f := say(r["text"]))[0] != "und" and f[1] >= 0.002)
+    assert sorted(map(str, keep_identified(awkward, model).collect())) == want and want
+    assert keep_identified(no_docs, model).count() == 0 and keep_identified(awkward, fit_language_id(no_docs)).count() == 0

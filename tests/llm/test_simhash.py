@@ -4,7 +4,7 @@ import numpy as np
 import xxhash
 
 from featspark.llm.components import connected_components
-from featspark.llm.simhash import GrayIndex, drop_near_copies, fingerprint, fingerprint_links, near_duplicate_groups
+from featspark.llm.simhash import GrayIndex, fingerprint, fingerprint_links, near_duplicate_groups
 
 
 def brute_fingerprint(text):
@@ -92,11 +92,3 @@ def test_components(spark):
                     up[x] = both
         got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
         assert got == {x: min(s) for x, s in up.items()}
-
-
-def test_one_row_of_a_group_stays(documents, awkward, no_docs):
-    groups = {r["doc_id"]: r["component_id"] for r in near_duplicate_groups(documents).collect()}
-    out = drop_near_copies(documents)
-    assert out.columns == documents.columns
-    assert sorted(r["doc_id"] for r in out.collect()) == sorted(set(groups.values()))
-    assert drop_near_copies(awkward).columns == awkward.columns and drop_near_copies(no_docs).count() == 0

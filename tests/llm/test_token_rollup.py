@@ -3,6 +3,7 @@ from collections import Counter
 import public_tokenizers
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from featspark.llm._common import scratch_path
@@ -30,8 +31,8 @@ def totals_of(docs):
     for r in docs.select("source", "lang", "text").collect():
         count = len(slow(r["text"])) if r["text"] else 0
         n[r["source"], r["lang"]] += count
-        docs_n[r["source"], r["lang"]] += count > 0
-    return {k: (docs_n[k], n[k]) for k in n if docs_n[k]}
+        docs_n[r["source"], r["lang"]] += 1
+    return {k: (docs_n[k], n[k]) for k in n}
 
 
 def test_totals(spark, documents, awkward, no_docs):
@@ -53,3 +54,28 @@ def test_signed_changes_and_replays(spark):
     with pytest.raises(PySparkException):
         rollup.commit("d", make(("s", "en", "v1", "upsert", 1, 0)))
     assert rollup.committed() == ["a", "b", "c"]
+
+
+def test_folded_batches_are_remembered(spark):
+    rollup = TokenRollup(spark, scratch_path(spark, "rollup"))
+    rollup.fold()
+    one = spark.createDataFrame([("s", "en", "v1", "insert", 10, None)], CHANGES)
+    gone = spark.createDataFrame([("s", "en", "v1", "delete", 10, None)], CHANGES)
+    for k in range(4):
+        assert rollup.commit(f"b{k}", one)
+        if k % 2:
+            rollup.fold()
+            assert rollup._names("deltas") == []
+    assert not rollup.commit("b0", one) and not rollup.commit("b3", one)
+    assert rollup.commit("c", gone)
+    assert [tuple(r) for r in rollup.totals().collect()] == [("s", "en", "v1", 3, 30)]
+    assert rollup.committed() == ["b0", "b1", "b2", "b3", "c"]
+
+
+def test_two_writers_of_one_batch(spark):
+    rollup = TokenRollup(spark, scratch_path(spark, "rollup"))
+    one = spark.createDataFrame([("s", "en", "v1", "insert", 10, None)], CHANGES)
+    for k in range(2):
+        one.groupBy("source", "lang", "tokenizer").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).write.parquet(f"{rollup.path}/aside/w{k}")
+    assert [rollup._publish(f"{rollup.path}/aside/w{k}", f"{rollup.path}/deltas/a") for k in range(2)] == [True, False]
+    assert rollup._names("aside") == [] and [tuple(r) for r in rollup.totals().collect()] == [("s", "en", "v1", 1, 10)]
