@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import micros
 from ..operators import metrics
 from ..operators.plotdata import infer_interval
-from .space import HyperparameterSpace, ParzenSampler, weighted_score
+from .space import HyperparameterSpace, ParzenSampler, rolling_origins, weighted_score
 
 DAY = 86_400.0
 EPOCH = datetime(1970, 1, 1)
@@ -183,22 +183,6 @@ def _ridge(products: np.ndarray, precision: np.ndarray, n: int) -> tuple[np.ndar
     return found, math.sqrt(sigma2)
 
 
-def cutoffs(first: datetime, last: datetime, step: float, horizon: timedelta, longest_season: timedelta, folds: int = 3) -> list[datetime]:
-    """Ends of training of each fold, in order: spaced by no more than the horizon, in whole steps."""
-    initial = max(longest_season, 3 * horizon)
-    usable = last - first - initial - horizon
-    if usable < timedelta(0):
-        raise ValueError(f"cross validation needs {initial + horizon} of data at least, there are {last - first}")
-    one = timedelta(seconds=step)
-    period = min(horizon, usable / max(folds - 1, 1))
-    period = max(one, period // one * one)
-    ends, at = [], last - horizon
-    while at >= first + initial:
-        ends.append(at)
-        at -= period
-    return ends[::-1]
-
-
 @dataclass(frozen=True)
 class TunedForecast:
     """The final model, its parameters, its metrics on the test rows, and every trial."""
@@ -234,7 +218,7 @@ def fit_seasonal_model(y: DataFrame, y_test: DataFrame, regressors: Sequence[str
     space = space or HyperparameterSpace.default("seasonal")
     span = (last - first).total_seconds()
     longest = max((period for _, period, _, least, most in SEASONS if span >= least * DAY and step < most * DAY), default=0.0)
-    ends = cutoffs(first, last, step, horizon, timedelta(days=longest))
+    ends = [first + timedelta(seconds=x) for x in rolling_origins(span, horizon.total_seconds(), longest * DAY, step=step)]
     kept: list[dict] = [{} for _ in ends]
     sampler, trials = ParzenSampler(space, False, seed), []
 

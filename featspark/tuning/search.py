@@ -5,9 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +38,50 @@ class Tuned:
         return dict(zip(features, map(float, self.model.featureImportances.toArray()), strict=True))
 
 
+class OneVsRest:
+    """Boosted trees for each class 0..k-1 against the others; shares of their probabilities add up to one."""
+
+    def __init__(self, models: list, label: str):
+        self.models, self.label = models, label
+
+    @classmethod
+    def fit(cls, make, df: DataFrame, label: str, classes: int) -> OneVsRest:
+        rest = [make().fit(df.withColumn(label, (F.col(label) == i).cast("double"))) for i in range(classes)]
+        return cls([m.setPredictionCol(f"_told{i}").setRawPredictionCol(f"_raw{i}").setProbabilityCol(f"_share{i}") for i, m in enumerate(rest)], label)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        columns, made = df.columns, df
+        for m in self.models:
+            made = m.transform(made)
+        shares = F.transform(F.array(*[vector_to_array(f"_share{i}") for i in range(len(self.models))]), lambda p: p[1])
+        total = F.aggregate(shares, F.lit(0.0), lambda a, x: a + x)
+        made = made.withColumn("_shares", F.transform(shares, lambda x: x / total))
+        best = (F.array_position("_shares", F.array_max("_shares")) - 1).cast("double")
+        return made.select(*columns, array_to_vector("_shares").alias("probability"), best.alias("prediction"))
+
+    @property
+    def getNumTrees(self) -> int:
+        return max(m.getNumTrees for m in self.models)
+
+    @property
+    def featureImportances(self):
+        return Vectors.dense(sum(m.featureImportances.toArray() for m in self.models) / len(self.models))
+
+    def evaluateEachIteration(self, df: DataFrame) -> list[float]:
+        """The mean loss over classes after each round; a class that stopped early keeps its last."""
+        runs = [list(m.evaluateEachIteration(df.withColumn(self.label, (F.col(self.label) == i).cast("double")))) for i, m in enumerate(self.models)]
+        longest = max(map(len, runs))
+        return [sum(r[min(k, len(r) - 1)] for r in runs) / len(runs) for k in range(longest)]
+
+
+class _Maker:
+    def __init__(self, make, label: str, classes: int):
+        self.make, self.label, self.classes = make, label, classes
+
+    def fit(self, df: DataFrame) -> OneVsRest:
+        return OneVsRest.fit(self.make, df, self.label, self.classes)
+
+
 def _search(kind: str, make, score, better, train, test, validation, features, label, space, n_trials, final_fit_data, seed) -> Tuned:
     if final_fit_data not in ("train", "train_val", "train_val_test"):
         raise ValueError(f"unknown final_fit_data {final_fit_data!r}")
@@ -88,19 +133,18 @@ def fit_gbt_regressor(train: DataFrame, test: DataFrame, features: list[str], la
 
 def fit_gbt_classifier(train: DataFrame, test: DataFrame, features: list[str], label: str, validation: DataFrame | None = None, space: HyperparameterSpace | None = None,
                        n_trials: int = 100, metric: str = "f1", final_fit_data: str = "train", seed: int = 42) -> Tuned:
-    """As for regressors. Labels are 0..k-1; more than two classes get a random forest, which Spark ML
-    boosts for two only."""
+    """As for regressors. Labels are 0..k-1; more than two classes are boosted each against the others."""
     if metric not in metrics.CLASSIFICATION:
         raise ValueError(f"unknown metric {metric!r}")
-    classes = train.agg(F.count_distinct(label)).first()[0]
+    classes = int(train.agg(F.max(F.col(label).cast("int"))).first()[0] or 0) + 1
 
-    def make(params, held):
-        if classes > 2:
-            used = {k: v for k, v in params.items() if k not in ("maxIter", "stepSize")}
-            return RandomForestClassifier(featuresCol="_features", labelCol=label, seed=seed, numTrees=params["maxIter"], **used)
+    def one(params, held):
         model = GBTClassifier(featuresCol="_features", labelCol=label, seed=seed, **params)
         return model.setValidationIndicatorCol("_held") if held else model
 
+    def make(params, held):
+        return one(params, held) if classes <= 2 else _Maker(lambda: one(params, held), label, classes)
+
     def score(df):
         if metric in ("roc_auc", "log_loss"):
             return probability_score(df, metric, label)

@@ -3,7 +3,8 @@ from datetime import datetime, timedelta
 import numpy as np
 import pytest
 
-from featspark.tuning.forecast import SeasonalModel, cutoffs, fit_seasonal_model
+from featspark.tuning.forecast import SeasonalModel, fit_seasonal_model
+from featspark.tuning.space import rolling_origins
 from featspark.tuning.search import probability_score
 from featspark.tuning.space import CategoricalDimension, FloatDimension, HyperparameterSpace, IntegerDimension, ParzenSampler
 
@@ -60,7 +61,7 @@ def test_search(spark):
     assert got.model.span == 139 * 86400
     with pytest.raises(ValueError, match="needs y_test to start"):
         fit_seasonal_model(train, train, final_fit_data="train_test")
-    with pytest.raises(ValueError, match="cross validation needs"):
+    with pytest.raises(ValueError, match="take a span"):
         fit_seasonal_model(train, test, n_trials=1)
     with pytest.raises(ValueError, match="no columns"):
         fit_seasonal_model(train, test, ["z"])
@@ -68,10 +69,12 @@ def test_search(spark):
         SeasonalModel().fit(train.limit(0))
 
 
-def test_cutoffs():
-    one = timedelta(days=1)
-    assert cutoffs(START, START + 100 * one, 86400, 10 * one, 7 * one) == [START + d * one for d in (30, 40, 50, 60, 70, 80, 90)]
-    assert cutoffs(START, START + 45 * one, 86400, 10 * one, 7 * one) == [START + d * one for d in (31, 33, 35)]
+def test_rolling_origins():
+    assert rolling_origins(100, 10, 7) == [30, 40, 50, 60, 70, 80, 90]
+    assert rolling_origins(45 * 86400, 10 * 86400, 7 * 86400, step=86400) == [d * 86400 for d in (31, 33, 35)]
+    assert rolling_origins(100, 10, 20, 3) == [30, 40, 50, 60, 70, 80, 90] and rolling_origins(40, 10, 7, 1) == [30]
+    with pytest.raises(ValueError, match="span"):
+        rolling_origins(39, 10, 7)
 
 
 def test_probability_scores(spark):
