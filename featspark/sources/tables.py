@@ -28,7 +28,7 @@ def write_parquet(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:
     df.write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
+def read_images(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """path, image (the struct of Spark's image source), a row a file; undecodable files have height -1."""
     df = spark.read.format("image").option("dropInvalid", False).load(path)
     return df.select(F.col("image.origin").alias("path"), "image")

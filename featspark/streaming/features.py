@@ -21,6 +21,7 @@ def apply_fitted(stream: DataFrame, *fitted: Any) -> DataFrame:
 def stream_gaps(stream: DataFrame, key: str, ts: str = "ts", forget_after: str = "7 days") -> DataFrame:
     """key, ts, secs_since_last_obs by key, in order of time inside a batch. Rows older than the last one
     seen have a null gap; a key unseen for ``forget_after`` of event time is forgotten."""
+    kept_ms = int(pd.Timedelta(forget_after).total_seconds() * 1000)
     rows = stream.select(F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").alias("ts")).withWatermark("ts", forget_after)
 
     def work(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -35,7 +36,7 @@ def stream_gaps(stream: DataFrame, key: str, ts: str = "ts", forget_after: str =
             gaps.append(None if last is None or now < last else (now - last) // 1_000_000)
             last = now if last is None else max(last, now)
         state.update((last,))
-        state.setTimeoutTimestamp(max(last // 1000 + 1, state.getCurrentWatermarkMs() + 1) + 7 * 86_400_000)
+        state.setTimeoutTimestamp(max(last // 1000 + 1, state.getCurrentWatermarkMs() + 1) + kept_ms)
         yield pd.DataFrame({"key": name[0], "ts": batch["ts"], "secs_since_last_obs": pd.array(gaps, "Int64")})
 
     return rows.groupBy("key").applyInPandasWithState(
