@@ -76,8 +76,14 @@ def categorical_columns(df: DataFrame) -> list[str]:
 
 
 def exact_sample(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """The ``n`` rows of the lowest hash: the same rows for the same data and seed."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *df.columns), *df.columns).limit(n)
+    """The ``n`` rows of the lowest hash: the same rows for the same data and seed. Only rows whose hash
+    lies in the lowest part that must hold them are ordered, and of these each task keeps ``n``."""
+    hashed = df.withColumn("_draw", F.xxhash64(F.lit(seed), *df.columns))
+    rows = df.count()
+    if rows > 100 * n:
+        hashed = hashed.where(F.col("_draw") < F.lit(-(1 << 63) + int((1 << 64) * (n + 10 * n ** 0.5 + 100) / rows)))
+    out = hashed.orderBy("_draw", *df.columns).limit(n).drop("_draw")
+    return out if rows <= 100 * n or out.count() == n else df.orderBy(F.xxhash64(F.lit(seed), *df.columns), *df.columns).limit(n)
 
 
 def without_nulls(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows up to which the built-in is used, rows left in a bracket when it ends, and parts of a split.
 SMALL, LEFT, PARTS = 5_000_000, 1_000_000, 512
@@ -35,6 +36,39 @@ def exact_quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]], small:
     return out
 
 
+def group_quantiles(df: DataFrame, key: str, column: str, quantiles: Sequence[float], nearest: bool = False, small: int = SMALL, most: int = 1000) -> DataFrame:
+    """key, q (array of the quantiles) and n of each group of ``key``; values that are null are left out.
+    ``nearest`` takes the value at the nearest place, half up, in place of interpolating.
+
+    Groups of more than ``small`` rows go through ``exact_quantiles`` one after another; over ``most`` groups
+    are an error, as the driver lists them.
+    """
+    rows = df.where(F.col(column).isNotNull())
+    counts = {r["k"]: r["n"] for r in rows.groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n")).limit(most + 1).collect()}
+    if len(counts) > most:
+        raise ValueError(f"{key} has more than {most} groups")
+
+    def places(n: int) -> list[float]:
+        return [min(1.0, math.floor((n - 1) * q + 0.5) / (n - 1)) if nearest and n > 1 else float(q) for q in quantiles]
+
+    found = [(k, exact_quantiles(rows.where(F.col(key).eqNullSafe(F.lit(k))), {column: places(n)})[column], n) for k, n in counts.items() if n > small]
+    usual = {k: n for k, n in counts.items() if n <= small}
+    if nearest and usual:
+        made = [F.percentile(F.when(F.col(key).eqNullSafe(F.lit(k)), F.col(column)), F.array(*map(F.lit, places(n)))).alias(f"g{i}") for i, (k, n) in enumerate(usual.items())]
+        got = rows.agg(*made).first()
+        found += [(k, list(got[f"g{i}"]), n) for i, (k, n) in enumerate(usual.items())]
+        usual = {}
+    schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("q", T.ArrayType(T.DoubleType())), T.StructField("n", T.LongType())])
+    table = df.sparkSession.createDataFrame(found, schema)
+    if usual:
+        large = F.lit(False)
+        for k, _, _ in found:
+            large = large | F.col(key).eqNullSafe(F.lit(k))
+        direct = rows.where(~large).groupBy(key).agg(F.percentile(column, F.array(*map(F.lit, map(float, quantiles)))).alias("q"), F.count("*").alias("n"))
+        table = direct.unionByName(table) if found else direct
+    return table
+
+
 def _refined(values: DataFrame, n: int, q: float, left: int) -> float:
     place = q * (n - 1)
     first, last = math.floor(place), math.ceil(place)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from ..functions.quantiles import exact_quantiles
 
 #: Up to this many categories a lookup is a literal map; larger tables are joined.
 LITERAL = 1000
+#: Most categories that become codes or columns: the driver lists them.
+MOST_CATEGORIES = 100_000
 
 
 def _text(c: str) -> Column:
@@ -42,9 +45,13 @@ class EncodingFeatures:
         self.target, self.smoothing = target, smoothing
         wanted = dict.fromkeys([*to_enum, *to_onehot])
         if wanted:
-            got = df.agg(*[F.sort_array(F.collect_set(F.when(_known(df, c), _text(c)))).alias(c) for c in wanted]).first()
-            self.categories = {c: list(got[c]) for c in to_enum}
-            self.onehot = {c: list(got[c]) for c in to_onehot}
+            pairs = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.when(_known(df, c), _text(c)).alias("v")) for c in wanted])).alias("p"))
+            found = pairs.select("p.c", "p.v").where("v is not null").distinct().limit(MOST_CATEGORIES + 1).collect()
+            if len(found) > MOST_CATEGORIES:
+                raise ValueError(f"more than {MOST_CATEGORIES} categories: use frequency or target rates")
+            got = {c: sorted((r["v"] for r in found if r["c"] == c), key=str.encode) for c in wanted}
+            self.categories = {c: got[c] for c in to_enum}
+            self.onehot = {c: got[c] for c in to_onehot}
         if to_bin:
             self.edges = self._learn_edges(df, to_bin)
         if target_encode:
@@ -174,3 +181,22 @@ def _known(df: DataFrame, c: str) -> Column:
     if df.schema[c].dataType.typeName() in ("double", "float"):
         return F.col(c).isNotNull() & ~F.isnan(c)
     return F.col(c).isNotNull()
+
+
+@dataclass(frozen=True)
+class AggregationFeatures:
+    """``{agg}_{column}_by_{over}``: aggregates of columns over groups, learned once and attached by group;
+    groups that were not there have null."""
+
+    agg: Mapping[str, Sequence[str]]
+    over: Sequence[str]
+
+    def fit_transform(self, train: DataFrame, df: DataFrame) -> DataFrame:
+        makers = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "std": F.stddev_samp, "count": F.count}
+        names = [f"_key{i}" for i in range(len(self.over))]
+        made = [makers[a](c).alias(f"{a}_{c}_by_{'_'.join(self.over)}") for c, kinds in self.agg.items() for a in kinds]
+        table = train.groupBy(*[F.col(k).alias(n) for k, n in zip(self.over, names, strict=True)]).agg(*made)
+        same = F.lit(True)
+        for k, n in zip(self.over, names, strict=True):
+            same = same & F.col(k).eqNullSafe(F.col(n))
+        return df.join(table, same, "left").drop(*names)

@@ -70,13 +70,41 @@ def german_holidays(year: int, state: str | None) -> set[date]:
     return days
 
 
+#: National holidays as days from Easter or (month, day).
+NATIONAL = {
+    "AT": [(1, 1), (1, 6), 1, (5, 1), 39, 50, 60, (8, 15), (10, 26), (11, 1), (12, 8), (12, 25), (12, 26)],
+    "BE": [(1, 1), 0, 1, (5, 1), 39, 49, 50, (7, 21), (8, 15), (11, 1), (11, 11), (12, 25)],
+    "ES": [(1, 1), (1, 6), -2, (5, 1), (8, 15), (10, 12), (11, 1), (12, 6), (12, 8), (12, 25)],
+    "FR": [(1, 1), 1, (5, 1), (5, 8), 39, 50, (7, 14), (8, 15), (11, 1), (11, 11), (12, 25)],
+    "IT": [(1, 1), (1, 6), 0, 1, (4, 25), (5, 1), (6, 2), (8, 15), (11, 1), (12, 8), (12, 25), (12, 26)],
+    "PL": [(1, 1), (1, 6), 0, 1, (5, 1), (5, 3), 49, 60, (8, 15), (11, 1), (11, 11), (12, 25), (12, 26)],
+    "PT": [(1, 1), -2, 0, (4, 25), (5, 1), 60, (6, 10), (8, 15), (10, 5), (11, 1), (12, 1), (12, 8), (12, 25)],
+}
+
+
+def english_holidays(year: int) -> set[date]:
+    """Bank holidays of England by rule, with their substitutes; single ones are not known here."""
+    days = {easter(year) + timedelta(days=k) for k in (-2, 1)} | {nth_weekday(year, 5, 0, 1), nth_weekday(year, 5, 0, -1), nth_weekday(year, 8, 0, -1)}
+    fixed = [date(year, 1, 1), date(year, 12, 25), date(year, 12, 26)]
+    days.update(fixed)
+    for day in (d for d in fixed if d.weekday() >= 5):
+        while day.weekday() >= 5 or day in days:
+            day += timedelta(days=1)
+        days.add(day)
+    return days
+
+
 def holidays_of(country: str, years: Iterable[int], subdiv: str | None = None) -> set[date]:
-    """Holidays of a country (US, DE) in some years; unknown countries are a ``ValueError``."""
-    if country == "US":
-        return set().union(*(us_holidays(y) for y in years))
-    if country == "DE":
-        return set().union(*(german_holidays(y, subdiv) for y in years))
-    raise ValueError(f"no holidays for country {country!r}; give dates")
+    """Holidays of a country (US, DE with states, GB, those of ``NATIONAL``) in some years; unknown
+    countries and subdivisions are a ``ValueError``."""
+    if subdiv is not None and country != "DE":
+        raise ValueError(f"no subdivisions of country {country!r}; give dates")
+    rules = {"US": us_holidays, "DE": lambda y: german_holidays(y, subdiv), "GB": english_holidays}
+    if country in NATIONAL:
+        rules[country] = lambda y: {easter(y) + timedelta(days=r) if isinstance(r, int) else date(y, *r) for r in NATIONAL[country]}
+    if country not in rules:
+        raise ValueError(f"no holidays for country {country!r}; give dates")
+    return set().union(*(rules[country](y) for y in years))
 
 
 def holiday_calendar(spark: SparkSession, first: int | None, last: int | None, country: str, subdiv: str | None = None, dates: Iterable[date] | None = None) -> DataFrame:

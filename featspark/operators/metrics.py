@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,15 +49,17 @@ def classification_metrics(df: DataFrame, y: str = "y_true", p: str = "y_pred",
     return class_scores(df, y, p).agg(right.alias("accuracy"), *[F.avg(F.when(wanted, F.col(k))).alias(k) for k in ("precision", "recall", "f1")])
 
 
-#: Slices of the score range; each is summed by itself.
+#: Slices of the scores, cut at approximate quantiles; each is summed by itself.
 SLICES = 1024
 
 
 def running(df: DataFrame, order: str, sums: Sequence[str], descending: bool = False, slices: int = SLICES) -> DataFrame:
     """``df`` with ``before_{c}``, the sum of ``c`` over rows that come earlier by the probability
-    ``order``, and ``all_{c}``. Sums inside slices of the range and over slices: no task sorts all rows."""
-    place = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(order).cast("double"))) * slices)
-    df = df.withColumn("_s", place)
+    ``order``, and ``all_{c}``. Sums inside slices of about equal size and over slices: no task sorts all rows."""
+    df = df.withColumn("_v", F.coalesce(F.col(order).cast("double"), F.lit(-float("inf"))))
+    cuts = df.agg(F.percentile_approx("_v", [k / slices for k in range(1, slices)], 10_000)).first()[0] or []
+    splits = [-float("inf"), *sorted({c for c in cuts if math.isfinite(c)}), float("inf")]
+    df = Bucketizer(splits=splits, inputCol="_v", outputCol="_s").transform(df).drop("_v") if len(splits) > 2 else df.withColumn("_s", F.lit(0.0)).drop("_v")
     totals = df.groupBy("_s").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     by = Window.orderBy(F.desc("_s") if descending else F.asc("_s"))
     earlier = by.rowsBetween(Window.unboundedPreceding, -1)
@@ -87,6 +91,28 @@ def roc_auc(df: DataFrame, y: str = "y_true", score: str = "y_proba") -> DataFra
     return curve(df, y, score).agg(F.try_divide(won, (F.sum("p") * F.sum(F.col("n") - F.col("p"))).cast("double")).alias("auc"))
 
 
+def macro_roc(curves: Sequence[DataFrame], points: int = 101) -> list[tuple[float, float]]:
+    """(fpr, tpr) at even false positive rates: the mean over curves of the true positive rate, straight
+    between the points of a curve. The area is that under these points."""
+    grid = [k / (points - 1) for k in range(points)]
+    lines = []
+    for c in curves:
+        at = F.struct("fpr", "tpr")
+        got = c.where("fpr is not null and tpr is not null").agg(*[f(F.when(side, at)).alias(f"{n}{k}") for k, g in enumerate(grid)
+                                                                 for n, f, side in (("a", F.max, F.col("fpr") <= g), ("b", F.min, F.col("fpr") >= g))]).first()
+        line = []
+        for k, g in enumerate(grid):
+            (x0, y0), (x1, y1) = got[f"a{k}"] or (0.0, 0.0), got[f"b{k}"] or (1.0, 1.0)
+            line.append(y0 if x1 <= x0 else y0 + (y1 - y0) * (g - x0) / (x1 - x0))
+        lines.append(line)
+    return [(g, sum(ys) / len(ys)) for g, ys in zip(grid, zip(*lines, strict=True), strict=True)]
+
+
+def area(points: Sequence[tuple[float, float]]) -> float:
+    """Area under a line of points, by trapezoids."""
+    return sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(points, points[1:]))
+
+
 def pr_curve(df: DataFrame, y: str = "y_true", score: str = "y_proba") -> DataFrame:
     """threshold, precision, recall."""
     return curve(df, y, score).select("threshold", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), F.try_divide("tp", "positives").alias("recall"))

@@ -5,12 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.exprs import as_double, average_ranks, bin_code, micros, numeric_columns
-from ..functions.quantiles import exact_quantiles
+from ..functions.exprs import as_double, average_ranks, bin_code, exact_sample, micros, numeric_columns
+from ..functions.quantiles import exact_quantiles, group_quantiles
 
 MISSING = "(null)"
 
@@ -73,8 +74,9 @@ def feature_target(df: DataFrame, feature: str, target: str, n_bins: int = 10, t
     y = F.col(target).cast("int").cast("double") if isinstance(df.schema[target].dataType, T.BooleanType) else as_double(target)
     if isinstance(df.schema[feature].dataType, T.NumericType):
         rows = df.select(as_double(feature).alias("x"), y.alias("y")).where("x is not null and y is not null")
-        grouped = rows.groupBy(bin_code(F.col("x"), quantile_edges(rows, "x", n_bins)).alias("bin")).agg(F.median("x").alias("x"), *_mean_and_error())
-        return _interval(grouped)
+        binned = rows.withColumn("bin", bin_code(F.col("x"), quantile_edges(rows, "x", n_bins)))
+        middle = group_quantiles(binned, "bin", "x", [0.5]).select("bin", F.col("q")[0].alias("x"))
+        return _interval(binned.groupBy("bin").agg(*_mean_and_error()).join(middle, "bin").select("bin", "x", "n", "mean", "sem"))
     rows = df.select(F.coalesce(F.col(feature).cast("string"), F.lit(MISSING)).alias("value"), y.alias("y")).where("y is not null")
     return _interval(rows.groupBy("value").agg(*_mean_and_error()).orderBy(F.desc("n"), "value").limit(top_k))
 
@@ -87,9 +89,12 @@ def _interval(df: DataFrame) -> DataFrame:
     return df.withColumns({"low": F.col("mean") - 1.96 * F.col("sem"), "high": F.col("mean") + 1.96 * F.col("sem")})
 
 
-def panel_values(df: DataFrame, column: str, by: str | None = None, log: bool = False, clip: tuple[float, float] | None = None, most_groups: int = 8) -> DataFrame:
+def panel_values(df: DataFrame, column: str, by: str | None = None, log: bool = False, clip: tuple[float, float] | None = None, most_groups: int = 8,
+                 sample: int | None = None) -> DataFrame:
     """x and, with ``by``, its group: values that are neither null nor NaN, positive under ``log``, inside
-    the ``clip`` quantiles. Null groups go; more than ``most_groups`` are an error."""
+    the ``clip`` quantiles. Null groups go; more than ``most_groups`` are an error. ``sample`` draws that many
+    rows first, if there are more."""
+    df = exact_sample(df, sample) if sample is not None else df
     rows = df.select(as_double(column).alias("x"), *([F.col(by).cast("string").alias("group")] if by else [])).where("x is not null")
     if by:
         rows = rows.where("group is not null")
@@ -103,18 +108,18 @@ def panel_values(df: DataFrame, column: str, by: str | None = None, log: bool =
     return rows
 
 
-def histogram(df: DataFrame, column: str, bins: int | str = "auto", by: str | None = None, log: bool = False, clip: tuple[float, float] | None = None, few: int = 50) -> DataFrame:
+def histogram(df: DataFrame, column: str, bins: int | str = "auto", by: str | None = None, log: bool = False, clip: tuple[float, float] | None = None, few: int = 50, sample: int | None = None) -> DataFrame:
     """[group,] low, high, n, share. Whole numbers of up to ``few`` values get a bar each; ``auto`` takes
     the narrower of the Freedman-Diaconis and Sturges bins; groups are normalised by themselves."""
-    rows = panel_values(df, column, by, log, clip)
+    rows = panel_values(df, column, by, log, clip, sample=sample)
     keys = ["group"] if by else []
     whole = isinstance(df.schema[column].dataType, T.IntegralType)
     if whole and bins == "auto" and rows.select("x").distinct().limit(few + 1).count() <= few:
         n = rows.groupBy(*keys, F.col("x").alias("low")).agg(F.count("*").alias("n")).withColumn("high", F.col("low"))
     else:
         x = F.log10("x") if log else F.col("x")
-        got = rows.agg(F.count("*").alias("n"), F.min(x).alias("a"), F.max(x).alias("b"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).alias("q")).first()
-        k = bins if isinstance(bins, int) else auto_bins(got["n"], got["a"], got["b"], *(got["q"] or (None, None)))
+        got = rows.agg(F.count("*").alias("n"), F.min(x).alias("a"), F.max(x).alias("b")).first()
+        k = bins if isinstance(bins, int) else auto_bins(got["n"], got["a"], got["b"], *exact_quantiles(rows.select(x.alias("x")), {"x": [0.25, 0.75]})["x"])
         a, b = got["a"] or 0.0, got["b"] or 0.0
         w = (b - a) / k if b > a else 1.0
         place = F.least(F.floor((x - a) / w), F.lit(k - 1))
@@ -134,16 +139,25 @@ def auto_bins(n: int, low: float | None, high: float | None, q25: float | None,
     return max(1, math.ceil((high - low) / (min(sturges, fd) if fd > 0 else sturges)))
 
 
-def kde(df: DataFrame, column: str, by: str | None = None, log: bool = False, clip: tuple[float, float] | None = None, points: int = 200, cells: int = 2000) -> DataFrame:
+def kde(df: DataFrame, column: str, by: str | None = None, log: bool = False, clip: tuple[float, float] | None = None, points: int = 200, cells: int | None = 2000, sample: int | None = None) -> DataFrame:
     """[group,] x, density: a Gaussian kernel estimate with Scott's bandwidth, inside the data's range.
-    Rows are first counted in ``cells`` cells a group, so the estimate costs cells times points."""
-    rows = panel_values(df, column, by, log, clip)
+    Rows are first counted in ``cells`` cells a group, so the estimate costs cells times points; without
+    cells each distinct value meets each point in the task that holds it, and sums are exact."""
+    rows = panel_values(df, column, by, log, clip, sample=sample)
     rows = rows.withColumn("x", F.log10("x")) if log else rows
     rows = rows if by else rows.withColumn("group", F.lit(""))
     stats = {r["group"]: r for r in rows.groupBy("group").agg(F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("b"), F.stddev_samp("x").alias("s")).collect()}
     out = []
     usable = {g: r for g, r in stats.items() if r["n"] > 1 and r["s"] and r["s"] > 0}
-    if usable:
+    if usable and cells is None:
+        h = F.create_map(*[v for g, r in usable.items() for v in (F.lit(g), F.lit(r["s"] * r["n"] ** -0.2))])[F.col("group")]
+        ends = [F.create_map(*[v for g, r in usable.items() for v in (F.lit(g), F.lit(float(r[k])))])[F.col("group")] for k in ("a", "b")]
+        grid = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda k: ends[0] + (ends[1] - ends[0]) * k / (points - 1))
+        counted = rows.where(F.col("group").isin(*usable)).groupBy("group", F.col("x").alias("v")).agg(F.count("*").alias("n"))
+        near = counted.select("group", "v", "n", h.alias("h"), F.posexplode(grid).alias("k", "x"))
+        sums = near.groupBy("group", "k", "x", "h").agg(F.sum(F.col("n") * F.exp(-0.5 * F.pow((F.col("x") - F.col("v")) / F.col("h"), 2))).alias("t")).collect()  # a row a point
+        out = [(r["group"], 10 ** r["x"] if log else r["x"], r["t"] / (usable[r["group"]]["n"] * r["h"] * math.sqrt(2 * math.pi))) for r in sorted(sums, key=lambda r: (r["group"], r["k"]))]
+    elif usable:
         parts = {k: F.create_map(*[v for g, r in usable.items() for v in (F.lit(g), F.lit(float(r[k])))])[F.col("group")] for k in ("a", "b")}
         place = F.least(F.floor((F.col("x") - parts["a"]) / (parts["b"] - parts["a"]) * cells), F.lit(cells - 1))
         counted = rows.where(F.col("group").isin(*usable)).groupBy("group", place.alias("i")).agg(F.count("*").alias("n"), F.avg("x").alias("m")).collect()
@@ -161,7 +175,7 @@ def kde(df: DataFrame, column: str, by: str | None = None, log: bool = False, cl
 def boxplot(df: DataFrame, column: str, by: str | None = None, log: bool = False, clip: tuple[float, float] | None = None) -> DataFrame:
     """[group,] n, q1, median, q3, whiskers inside 1.5 quartile ranges, number of values beyond."""
     rows = panel_values(df, column, by, log, clip).withColumn("_g", F.col("group") if by else F.lit(""))
-    q = rows.groupBy("_g").agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = group_quantiles(rows, "_g", "x", [0.25, 0.5, 0.75]).select("_g", "q")  # some groups
     reach = 1.5 * (F.col("q")[2] - F.col("q")[0])
     near = F.col("x").between(F.col("q")[0] - reach, F.col("q")[2] + reach)
     out = rows.join(F.broadcast(q), "_g").groupBy("_g", "q").agg(F.count("*").alias("n"), F.min(F.when(near, F.col("x"))).alias("low"), F.max(F.when(near, F.col("x"))).alias("high"), F.count_if(~near).alias("fliers"))
@@ -222,23 +236,41 @@ SEASONS = {"hour": F.hour, "weekday": lambda t: F.weekday(t) + 1, "day": F.day,
 
 def seasonal_profile(df: DataFrame, rows: str, columns: str | None = None, agg: str = "mean", ts: str = "ts", val: str = "val") -> DataFrame:
     """With ``columns`` a pivot of mean or median by two calendar parts; without, mean or median with the
-    quartile band by one."""
+    band of the values nearest to the quartiles by one."""
     made = {"mean": F.avg, "median": F.median}[agg]
     cells = df.select(SEASONS[rows](F.col(ts)).alias(rows), *([SEASONS[columns](F.col(ts)).alias(columns)] if columns else []), as_double(val).alias("v")).where(f"v is not null and {rows} is not null")
     if columns:
         return cells.groupBy(rows).pivot(columns).agg(made("v"))
-    return cells.groupBy(rows).agg(made("v").alias("center"), F.percentile("v", F.lit(0.25)).alias("p25"), F.percentile("v", F.lit(0.75)).alias("p75"))
+    band = group_quantiles(cells, rows, "v", [0.25, 0.75], nearest=True).select(rows, F.col("q")[0].alias("p25"), F.col("q")[1].alias("p75"))
+    center = cells.groupBy(rows).agg(F.avg("v").alias("center")) if agg == "mean" else group_quantiles(cells, rows, "v", [0.5]).select(rows, F.col("q")[0].alias("center"))
+    return center.join(band, rows)
+
+
+#: Slices of time for numbering rows.
+TIME_SLICES = 1024
+
+
+def numbered_rows(rows: DataFrame, ts: str, name: str, keys: Sequence[str] = ()) -> DataFrame:
+    """``rows`` with their number from 1 by ``ts`` in each series: places inside slices of time, cut at
+    approximate quantiles, after the rows of the slices before. Null times are left out."""
+    known = rows.where(F.col(ts).isNotNull()).withColumn("_at", micros(F.col(ts)).cast("double"))
+    cuts = known.agg(F.percentile_approx("_at", [k / TIME_SLICES for k in range(1, TIME_SLICES)], 10_000)).first()[0] or []
+    splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
+    sliced = Bucketizer(splits=splits, inputCol="_at", outputCol="_s").transform(known) if len(splits) > 2 else known.withColumn("_s", F.lit(0.0))
+    per = sliced.groupBy(*keys, "_s").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base")
+    placed = sliced.withColumn("_place", F.row_number().over(Window.partitionBy(*keys, "_s").orderBy(ts)))
+    return placed.join(per.select(*keys, "_s", before), [*keys, "_s"]).withColumn(name, F.col("_place") + F.col("_base")).drop("_at", "_s", "_base", "_place")
 
 
 def autocorrelation(df: DataFrame, lags: int = 50, ts: str = "ts", val: str = "val", keys: Sequence[str] = ()) -> DataFrame:
     """[keys,] lag, acf, band: correlation with the values ``lag`` rows before, and Bartlett's 95 % band.
-    Rows are numbered by time through monthly counts, and shifts meet by equi-join, not by one sort."""
-    rows = df.select(*keys, F.col(ts).alias("t"), as_double(val).alias("v")).where("v is not null").withColumn("_m", F.date_trunc("month", "t"))
-    per = rows.groupBy(*keys, "_m").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base")
-    numbered = rows.join(per.select(*keys, "_m", before), [*keys, "_m"]).withColumn("i", F.row_number().over(Window.partitionBy(*keys, "_m").orderBy("t")) + F.col("_base"))
+    Rows are numbered by time through counts by slice, and blocks of rows see what lies before them."""
+    rows = df.select(*keys, F.col(ts).alias("t"), as_double(val).alias("v")).where("v is not null")
+    numbered = numbered_rows(rows, "t", "i", keys)
     stats = rows.groupBy(*keys).agg(F.avg("v").alias("mean"), (F.var_pop("v") * F.count("*")).alias("ss"), F.count("*").alias("n"))
-    spread = numbered.join(F.broadcast(stats), list(keys)) if keys else numbered.withColumn("_one", F.lit(1)).join(F.broadcast(stats.withColumn("_one", F.lit(1))), "_one")
+    # a row a series: Spark broadcasts them if they are few
+    spread = numbered.join(stats, list(keys)) if keys else numbered.withColumn("_one", F.lit(1)).join(F.broadcast(stats.withColumn("_one", F.lit(1))), "_one")
     d = spread.select(*keys, "i", (F.col("v") - F.col("mean")).alias("d"), "ss", "n")
     # a block of rows sees itself and the rows that its longest lag reaches back to
     width = max(1024, 4 * lags)
@@ -292,19 +324,24 @@ def resample(df: DataFrame, step: int | None = None, ts: str = "ts", val: str =
 
 
 def rolling_stats(df: DataFrame, window: int | str, ts: str = "ts", val: str = "val", keys: Sequence[str] = ()) -> DataFrame:
-    """[keys,] ts, mean, std over the last rows (int) or time (duration), null until a full window has passed."""
+    """[keys,] ts, mean, std over the last rows (int) or time (duration), null until a full window has
+    passed. Rows are numbered and taken in blocks that see what their windows reach back to; rows without
+    a time are left out of windows of rows."""
     from ..functions.durations import parse_duration
     from .windows import rolling
 
     rows = df.select(*keys, F.col(ts).alias("ts"), as_double(val).alias("val"))
     if isinstance(window, int):
-        w = Window.partitionBy(*keys).orderBy("ts").rowsBetween(-(window - 1), 0)
-        full = F.count("*").over(w) == window
-        return rows.select(*keys, "ts", F.when(full, F.avg("val").over(w)).alias("mean"), F.when(full, F.stddev_samp("val").over(w)).alias("std"))
+        width = max(1024, 4 * window)
+        blocks = numbered_rows(rows, "ts", "_i", keys).withColumn("_b", F.explode(F.sequence(F.floor(F.col("_i") / width), F.floor((F.col("_i") + window - 1) / width))))
+        w = Window.partitionBy(*keys, "_b").orderBy("_i").rowsBetween(-(window - 1), 0)
+        full = F.col("_i") >= window
+        made = blocks.select(*keys, "ts", (F.col("_b") == F.floor(F.col("_i") / width)).alias("_own"), F.when(full, F.avg("val").over(w)).alias("mean"), F.when(full, F.stddev_samp("val").over(w)).alias("std"))
+        return made.where("_own").drop("_own")
     d = parse_duration(window)
     made = rolling(rows, "ts", "val", {window: d}, ("mean", "std"), keys)
     start = rows.groupBy(*keys).agg(F.min("ts").alias("_first"))
-    made = made.join(F.broadcast(start), list(keys)) if keys else made.withColumn("_one", F.lit(1)).join(F.broadcast(start.withColumn("_one", F.lit(1))), "_one")
+    made = made.join(start, list(keys)) if keys else made.withColumn("_one", F.lit(1)).join(F.broadcast(start.withColumn("_one", F.lit(1))), "_one")
     full = F.col("ts") >= F.col("_first") + d.interval()
     return made.select(*keys, "ts", *[F.when(full, F.col(f"roll_{s}_{window}")).alias(s) for s in ("mean", "std")])
 

@@ -100,6 +100,11 @@ class ClassifierPlotter:
     def roc_curves(self) -> dict[Any, DataFrame]:
         return self._each(metrics.roc_curve)
 
+    def macro_roc(self) -> tuple[list[tuple[float, float]], float]:
+        """The mean ROC curve over classes and the area under it."""
+        points = metrics.macro_roc(list(self.roc_curves().values()))
+        return points, metrics.area(points)
+
     def precision_recall(self) -> dict[Any, DataFrame]:
         return self._each(metrics.pr_curve)
 

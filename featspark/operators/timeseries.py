@@ -161,12 +161,11 @@ class TimeseriesFeatures:
 
     def ewm(self, df: DataFrame, half_lives: Sequence[str], drop_ts: bool = False, drop_nulls: bool = False) -> DataFrame:
         """``ewm_{half-life}``: the exponential mean at the latest available observation."""
-        out = df
-        for h in half_lives:
-            life = parse_duration(h)
-            made = ewm(df, self.ts, self.val, f"ewm_{h}", life.micros if life.fixed else round(life.seconds * 1e6), self.keys)
-            out = self.latest_available(out, made, [f"ewm_{h}"]).withColumn(f"ewm_{h}", F.col(f"_known.ewm_{h}")).drop("_known")
-        return self._finish(out, drop_ts, drop_nulls)
+        if not half_lives:
+            return self._finish(df, drop_ts, drop_nulls)
+        parsed = {f"ewm_{h}": parse_duration(h) for h in half_lives}
+        lives = {name: d.micros if d.fixed else round(d.seconds * 1e6) for name, d in parsed.items()}
+        return self._attach(df, ewm(df, self.ts, self.val, lives, self.keys), list(lives), drop_ts, drop_nulls)
 
     def gap(self, df: DataFrame, drop_ts: bool = False, drop_nulls: bool = False) -> DataFrame:
         """``secs_since_last_obs``: whole seconds since the latest available observation."""

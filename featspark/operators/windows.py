@@ -153,19 +153,28 @@ def _joined_lags(out: DataFrame, df: DataFrame, ts: str, val: str, lags: dict[st
 BLOCK_LIVES = 400
 
 
-def ewm(series: DataFrame, ts: str, val: str, name: str, half_life: int, keys: Sequence[str] = ()) -> DataFrame:
-    """keys, ts and ``name``: r = a x + (1 - a) r_before with a = 1 - 2^(-dt / half-life), from the first value.
+def ewm(series: DataFrame, ts: str, val: str, half_lives: dict[str, int], keys: Sequence[str] = ()) -> DataFrame:
+    """keys, ts and a column for each name of ``half_lives`` (microseconds): r = a x + (1 - a) r_before with
+    a = 1 - 2^(-dt / half-life), from the first value.
 
-    Blocks of time are summed by themselves; the total of the block before enters with its decay.
+    Blocks of time are summed by themselves; the total of the block before enters with its decay. All
+    half-lives are columns of one frame, each with blocks of its own length.
     """
+    df = series.select(*keys, ts, F.col(val).alias("_x"), micros(F.col(ts)).alias("_us"))
+    for name, half_life in half_lives.items():
+        df = _with_ewm(df, name, half_life, keys)
+    return df.select(*keys, ts, *half_lives)
+
+
+def _with_ewm(df: DataFrame, name: str, half_life: int, keys: Sequence[str]) -> DataFrame:
+    columns = df.columns
     width = BLOCK_LIVES * half_life
-    df = series.select(*keys, ts, F.col(val).alias("_x"), micros(F.col(ts)).alias("_us")).withColumn("_b", F.floor(F.col("_us") / width))
+    df = df.withColumn("_b", F.floor(F.col("_us") / width))
     part = [*keys, "_b"]
-    ends = df.groupBy(*part).agg(F.max("_us").alias("_end"))
     by_block = Window.partitionBy(*keys).orderBy("_b")
-    ends = ends.select(*part, F.lag("_end").over(by_block).alias("_before"))
     inside = Window.partitionBy(*part).orderBy("_us")
-    df = _join(df, ends, part)
+    ends = df.groupBy(*part).agg(F.max("_us").alias("_end"))
+    df = _join(df, ends.select(*part, F.lag("_end").over(by_block).alias("_before")), part)
     gap = F.col("_us") - F.coalesce(F.lag("_us").over(inside), F.col("_before"))
     weight = F.when(gap.isNull(), F.lit(1.0)).otherwise(1 - F.pow(F.lit(2.0), -gap / half_life))
     offset = (F.col("_us") - F.col("_b") * width) / half_life
@@ -175,7 +184,7 @@ def ewm(series: DataFrame, ts: str, val: str, name: str, half_life: int, keys: S
     totals = totals.select(*part, F.when(adjacent, F.lag("_sum").over(by_block)).alias("_total"))
     running = F.sum("_w").over(inside.rowsBetween(Window.unboundedPreceding, 0))
     old = F.coalesce(F.col("_total") * F.pow(F.lit(2.0), -(F.col("_o") + BLOCK_LIVES)), F.lit(0.0))
-    return _join(df, totals, part).select(*keys, ts, (running * F.pow(F.lit(2.0), -F.col("_o")) + old).alias(name))
+    return _join(df, totals, part).select(*columns, (running * F.pow(F.lit(2.0), -F.col("_o")) + old).alias(name))
 
 
 def _join(df: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:

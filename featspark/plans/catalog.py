@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.exprs import signed_log1p
+from ..functions.exprs import signed_log1p, yeo_johnson
+from ..images import pipeline as images
+from ..images import steps
 from ..operators import metrics, plotdata
 from ..operators.encoding import EncodingFeatures
 from ..operators.numeric import NumericFeatures
 from ..operators.summary import summarize
 from ..operators.timeseries import CALENDAR, CYCLES, TimeseriesFeatures
 from ..operators.windows import STATS
+from ..sources import tables
+from ..streaming import features as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -250,10 +257,12 @@ def ts_trend(spark, d):
 
 
 def exog(spark, d):
-    return hourly(spark, d).where("hour(ts) % 3 = 0").select("ts", F.col("val").alias("level"))
+    """A coarser series: means of three hours."""
+    at = F.timestamp_micros(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 10_800_000_000) * 10_800_000_000).cast("timestamp_ntz")
+    return read(spark, d, "events").groupBy(at.alias("ts")).agg(F.round(F.avg("value"), 6).alias("level"))
 
 
-EX = f"SELECT ts, val AS level FROM ({SH}) WHERE hour(ts) % 3 = 0"
+EX = "SELECT to_timestamp(0)::TIMESTAMP + to_microseconds(epoch_us(ts) // 10800000000 * 10800000000) AS ts, round(avg(value), 6) AS level FROM events GROUP BY 1"
 
 
 @query(f"SELECT l.ts, l.val, x.level FROM ({EV}) l ASOF LEFT JOIN ({EX}) x ON l.ts >= x.ts")
@@ -372,11 +381,26 @@ def num_pipeline(spark, d):
     return rounded(fitted.transform(rows), "x")
 
 
-@query()
+def power_fit_sql(column: str) -> str:
+    """The best lambda of a grid of 101 points and of a finer one about it, and its mean log-likelihood."""
+    def tried(grid: str) -> str:
+        up = "CASE WHEN abs(lam) < 1e-12 THEN ln(1 + x) ELSE (pow(x + 1, lam) - 1) / lam END"
+        down = "CASE WHEN abs(lam - 2) < 1e-12 THEN -ln(1 - x) ELSE -(pow(1 - x, 2 - lam) - 1) / (2 - lam) END"
+        return (f"(SELECT lam, -ln(var_pop(CASE WHEN x >= 0 THEN {up} ELSE {down} END)) / 2 + (lam - 1) * avg(sign(x) * ln(1 + abs(x))) AS fit "
+                f"FROM (SELECT {column} AS x FROM ({VA})), ({grid}) GROUP BY lam ORDER BY fit DESC LIMIT 1)")
+
+    coarse = tried("SELECT (i - 50) / 10.0::DOUBLE AS lam FROM range(101) r(i)")
+    fine = tried(f"SELECT best.lam + (i - 100) / 1000.0::DOUBLE AS lam FROM range(201) r(i), {coarse} best")
+    return f"SELECT '{column}' AS \"column\", round(lam, 1) AS lambda, round(fit, 5) AS fit FROM {fine}"
+
+
+@query(f"{power_fit_sql('x')} UNION ALL {power_fit_sql('s')}")
 def num_power_fit(spark, d):
-    """Learned lambdas, found by search: compared with a dense search in tests."""
-    fitted = NumericFeatures().fit(valued(spark, d), power_transform=["x", "s"])
-    return spark.createDataFrame(sorted(fitted.lambdas.items()), "column string, lambda double")
+    """Learned lambdas, found by search, with the mean log-likelihood that they reach."""
+    df = valued(spark, d)
+    lambdas = NumericFeatures().fit(df, power_transform=["x", "s"]).lambdas
+    fits = df.agg(*[(-F.log(F.var_pop(yeo_johnson(F.col(c), lam))) / 2 + (lam - 1) * F.avg(signed_log1p(c))).alias(c) for c, lam in lambdas.items()]).first()
+    return spark.createDataFrame([(c, round(lam, 1), round(fits[c], 5)) for c, lam in lambdas.items()], "column string, lambda double, fit double")
 
 
 # ---- encoders ---------------------------------------------------------------
@@ -536,10 +560,12 @@ def boxplot_stats(spark, d):
     return rounded(plotdata.boxplot(read(spark, d, "events"), "value", "event_type"), "q1", "median", "q3")
 
 
-@query()
+@query("""WITH s AS (SELECT event_type AS "group", count(*) AS n, min(value) AS a, max(value) AS b, stddev_samp(value) * pow(count(*), -0.2::DOUBLE) AS h FROM events GROUP BY 1),
+p AS (SELECT *, a + (b - a) * k / 199 AS x FROM s, range(200) r(k))
+SELECT p."group", round(x, 6) AS x, round(sum(exp(-0.5::DOUBLE * pow((x - value) / h, 2))) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 6) AS density
+FROM p JOIN events e ON e.event_type = p."group" GROUP BY p."group", k, x""")
 def kde(spark, d):
-    """Compared with a direct kernel sum in tests."""
-    return plotdata.kde(read(spark, d, "events"), "value", "event_type")
+    return rounded(plotdata.kde(read(spark, d, "events"), "value", "event_type", cells=None), "x", "density")
 
 
 STEPS = f"SELECT ts, lag(ts) OVER (ORDER BY ts) AS before FROM (SELECT DISTINCT ts FROM ({SD}))"
@@ -562,17 +588,18 @@ def seasonal_profile(spark, d):
     return out.select("weekday", *[F.round(F.col(str(m)), 4).alias(f"m{m}") for m in range(1, 13)])
 
 
-@query(f"SELECT CAST(hour(ts) AS INTEGER) AS hour, round(median(val), 6) AS center, round(quantile_cont(val, 0.25), 6) AS p25, round(quantile_cont(val, 0.75), 6) AS p75 FROM ({EV}) GROUP BY 1")
+@query(f"SELECT CAST(hour(ts) AS INTEGER) AS hour, round(median(val), 6) AS center, "
+       f"{', '.join(f'round(list_sort(list(val))[CAST(floor((count(*) - 1) * {q}::DOUBLE + 0.5::DOUBLE) AS BIGINT) + 1], 6) AS p{int(100 * q)}' for q in (0.25, 0.75))} FROM ({EV}) GROUP BY 1")
 def seasonal_band(spark, d):
     return rounded(plotdata.seasonal_profile(events(spark, d), "hour", agg="median"), "center", "p25", "p75")
 
 
-def acf_sql(lags: int) -> str:
+def acf_sql(lags: int, ask: str = "") -> str:
     shifted = ", ".join(f"lag(e, {k}) OVER (ORDER BY ts) AS l{k}" for k in range(1, lags + 1))
     sums = " UNION ALL ".join([f"SELECT 0 AS lag, 1.0::DOUBLE AS acf"] + [f"SELECT {k}, sum(e * l{k}) / sum(e * e) FROM x" for k in range(1, lags + 1)])
-    return (f"WITH s AS ({SD}), c AS (SELECT ts, val - avg(val) OVER () AS e FROM s), x AS (SELECT *, {shifted} FROM c), a AS ({sums}) "
-            "SELECT CAST(lag AS INTEGER) AS lag, round(acf, 6) AS acf, round(CASE WHEN lag > 0 THEN 1.959963984540054 * sqrt((1 + 2 * coalesce(sum(CASE WHEN lag > 0 THEN acf * acf END) OVER (ORDER BY lag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) "
-            "/ (SELECT count(*) FROM s)) ELSE 0 END, 6) AS band FROM a")
+    return (f"WITH RECURSIVE s AS ({SD}), c AS (SELECT ts, val - avg(val) OVER () AS e FROM s), x AS (SELECT *, {shifted} FROM c), a AS ({sums})" + (ask or
+            " SELECT CAST(lag AS INTEGER) AS lag, round(acf, 6) AS acf, round(CASE WHEN lag > 0 THEN 1.959963984540054 * sqrt((1 + 2 * coalesce(sum(CASE WHEN lag > 0 THEN acf * acf END) OVER (ORDER BY lag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) "
+            "/ (SELECT count(*) FROM s)) ELSE 0 END, 6) AS band FROM a"))
 
 
 @query(acf_sql(20))
@@ -580,10 +607,17 @@ def acf(spark, d):
     return rounded(plotdata.autocorrelation(daily(spark, d), 20), "acf", "band")
 
 
-@query()
+LEVINSON = """, r AS (SELECT list(acf ORDER BY lag) AS a FROM a),
+w AS (SELECT 0 AS k, CAST([] AS DOUBLE[]) AS phi, 1.0::DOUBLE AS rest, 1.0::DOUBLE AS now, a FROM r
+  UNION ALL SELECT k + 1, list_append([phi[j] - t.new * phi[k + 1 - j] FOR j IN range(1, k + 1)], t.new), rest * (1 - t.new * t.new), t.new, a
+  FROM (SELECT *, (a[k + 2] - coalesce(list_sum([phi[j] * a[k + 2 - j] FOR j IN range(1, k + 1)]), 0)) / rest AS new FROM w WHERE k < 20) t)
+SELECT CAST(k AS INTEGER) AS lag, round(now, 6) AS pacf FROM w"""
+
+
+@query(acf_sql(20, LEVINSON))
 def pacf(spark, d):
     values = plotdata.partial_autocorrelation(daily(spark, d), 20)
-    return spark.createDataFrame([(i, round(v, 9)) for i, v in enumerate(values)], "lag int, pacf double")
+    return spark.createDataFrame([(i, round(v, 6)) for i, v in enumerate(values)], "lag int, pacf double")
 
 
 @query(f"""WITH s AS ({SD}), r AS (SELECT min(ts) AS a, max(ts) AS b FROM s), g AS (SELECT unnest(generate_series(a, b, INTERVAL 1 DAY)) AS ts FROM r)
@@ -732,3 +766,98 @@ def tune_gbt(spark, d):
     space = HyperparameterSpace("regressor", {"maxIter": CategoricalDimension((5,)), "maxDepth": CategoricalDimension((2, 4))})
     tuned = fit_gbt_regressor(train, test, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", val, space, n_trials=2)
     return spark.createDataFrame([(i, p["maxDepth"], round(s, 3)) for i, (p, s) in enumerate(tuned.trials)], "trial int, max_depth int, rmse double")
+
+
+# ---- images, files, streams ---------------------------------------------------
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{(base or 'file:///tmp/checkpoints/featspark').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def nation_images(spark: SparkSession, d: str) -> str:
+    """A folder with a small gray picture for each nation."""
+    def draw(parts):
+        for part in parts:
+            rows = []
+            for key, region in zip(part["n_nationkey"], part["n_regionkey"], strict=True):
+                a = ((np.arange(region + 3)[:, None] * 7 + np.arange(key + 4)[None, :] * 3 + key) % 256).astype(np.uint8)
+                rows.append((f"/nation{key}.raw", list(a.shape), "uint8", a.tobytes(), None))
+            yield pd.DataFrame(rows, columns=["path", "shape", "dtype", "data", "error"])
+
+    folder = shared_folder(spark, "nation-images")
+    images.write_images(read(spark, d, "nation").select("n_nationkey", "n_regionkey").mapInPandas(draw, images.PIXELS), folder)
+    return folder
+
+
+NATION_PIXELS = """(SELECT n_nationkey AS k, n_regionkey + 3 AS h, n_nationkey + 4 AS w, y, x, (y * 7 + x * 3 + n_nationkey) % 256 AS v
+FROM nation, range(40) a(y), range(40) b(x) WHERE y < n_regionkey + 3 AND x < n_nationkey + 4)"""
+
+
+def image_key():
+    return F.regexp_extract("path", "nation([0-9]+)", 1).cast("int").alias("k")
+
+
+@query(f"SELECT CAST(k AS INTEGER) AS k, true AS readable, CAST(w AS INTEGER) AS width, CAST(h AS INTEGER) AS height, round(w / h::DOUBLE, 6) AS aspect, 1 AS channels, round(avg(v), 6) AS brightness, "
+       f"round(stddev_pop(v), 6) AS contrast FROM {NATION_PIXELS} GROUP BY k, w, h")
+def image_summary(spark, d):
+    made = images.summarize_images(spark, nation_images(spark, d))
+    return rounded(made.select(image_key(), "readable", "width", "height", "aspect", "channels", "brightness", "contrast"), "aspect", "brightness", "contrast")
+
+
+@query(f"SELECT CAST(k AS INTEGER) AS k, 2 AS height, 3 AS width, CAST(sum(v * (1 + i)) AS BIGINT) AS checksum FROM (SELECT k, v, (y - (h - 2) // 2) * 3 + ((w - 1 - x) - (w - 3) // 2) AS i "
+       f"FROM {NATION_PIXELS} WHERE y - (h - 2) // 2 BETWEEN 0 AND 1 AND (w - 1 - x) - (w - 3) // 2 BETWEEN 0 AND 2) GROUP BY k")
+def image_steps(spark, d):
+    """The middle of each mirrored picture: every pixel counts with its place."""
+    made = images.ImagePipeline([steps.Flip(), steps.CenterCrop((3, 2))]).load_many(spark, nation_images(spark, d), grayscale=True)
+    pixel = F.transform(F.sequence(F.lit(1), F.length("data")), lambda i: F.conv(F.hex(F.substring("data", i, F.lit(1))), 16, 10).cast("long") * i)
+    return made.select(image_key(), F.col("shape")[0].alias("height"), F.col("shape")[1].alias("width"), F.aggregate(pixel, F.lit(0).cast("long"), lambda a, x: a + x).alias("checksum"))
+
+
+@query("SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) AS ts, o_totalprice, o_orderpriority FROM orders")
+def source_csv(spark, d):
+    """Orders written as CSV with American dates and read with the pattern of these."""
+    path = shared_folder(spark, "orders-csv")
+    text = F.date_format(F.col("o_orderdate").cast("timestamp"), "MM/dd/yyyy HH:mm").alias("ts")
+    read(spark, d, "orders").select("o_orderkey", text, "o_totalprice", "o_orderpriority").write.option("header", True).csv(path)
+    return tables.read_csv(spark, path, "o_orderkey bigint, ts string, o_totalprice double, o_orderpriority string", times={"ts": "MM/dd/yyyy HH:mm"})
+
+
+def drained(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
+    """What a stream gives until its source is read to the end."""
+    out = shared_folder(spark, "stream")
+    run = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{out}-state").option("path", out).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+def event_stream(spark: SparkSession, d: str) -> DataFrame:
+    return spark.readStream.schema(read(spark, d, "events").schema).parquet(f"{d}/events*.parquet")
+
+
+@query("""WITH w AS (SELECT event_type, to_timestamp(0)::TIMESTAMP + to_microseconds((epoch_us(ts) // 10800000000 - k) * 10800000000) AS start, value FROM events, range(2) r(k))
+SELECT event_type, start, start + INTERVAL 6 HOUR AS "end", count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, min(value) AS min, max(value) AS max
+FROM w GROUP BY ALL HAVING start + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+def stream_rolling(spark, d):
+    """Windows that are final once the whole table has streamed by."""
+    out = drained(spark, streams.stream_rolling(event_stream(spark, d), "6 hours", "3 hours", "event_type", val="value", horizon="1 hour"))
+    return rounded(out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")}), "mean", "std")
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS key, ts, CAST((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts))) // 1000000 AS BIGINT) AS secs_since_last_obs FROM events""")
+def stream_gaps(spark, d):
+    out = drained(spark, streams.stream_gaps(event_stream(spark, d), "user_id", forget_after="400 days"))
+    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(least(greatest((l_extendedprice - a) / (b - a), 0), 1), 6) AS l_extendedprice FROM lineitem, (SELECT min(l_extendedprice) AS a, max(l_extendedprice) AS b FROM lineitem)")
+def stream_scaled(spark, d):
+    """A fitted transform on a stream."""
+    lines_ = read(spark, d, "lineitem")
+    fitted = NumericFeatures().fit(lines_, scale={"minmax": ["l_extendedprice"]})
+    stream = spark.readStream.schema(lines_.schema).parquet(f"{d}/lineitem*.parquet").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return rounded(drained(spark, streams.apply_fitted(stream, fitted)), "l_extendedprice")

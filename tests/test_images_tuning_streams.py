@@ -7,11 +7,11 @@ import pytest
 
 from featspark import NumericFeatures
 from featspark.images import steps as st
-from featspark.images.pipeline import ImagePipeline, from_row, image_sizes, image_totals, read_image, summarize_images, write_images
+from featspark.images.pipeline import ImagePipeline, from_row, image_histograms, image_sizes, image_totals, read_image, summarize_images, write_images
 from featspark.sources.tables import date_range, read_csv, read_parquet, write_parquet
 from featspark.streaming.features import apply_fitted, stream_gaps, stream_rolling
 from featspark.tuning.search import fit_gbt_classifier, fit_gbt_regressor
-from featspark.tuning.space import CategoricalDimension, FloatDimension, HyperparameterSpace, IntegerDimension, cv_windows, weighted_score
+from featspark.tuning.space import CategoricalDimension, FloatDimension, HyperparameterSpace, IntegerDimension, weighted_score
 
 RNG = np.random.default_rng(0)
 
@@ -23,15 +23,20 @@ def picture(h, w, c=3):
 def test_geometry():
     a = picture(10, 40)
     assert st.Resize((20, 20))(a).shape == (20, 20, 3) and (st.Resize((20, 20), pad_value=7)(a)[0] == 7).all()
-    assert st.Resize((20, 30), "crop")(a).shape == st.Resize((20, 30), "stretch")(a).shape == (20, 30, 3)
-    assert (st.Resize((10, 40), "stretch")(a) == a).all() and st.Scale(0.01)(a).shape == (1, 1, 3)
+    assert st.Resize((30, 20), "crop")(a).shape == st.Resize((30, 20), "stretch")(a).shape == (20, 30, 3)
+    assert (st.Resize((40, 10), "stretch")(a) == a).all() and st.Resize(12)(a).shape == (12, 12, 3)
+    wide = st.Resize((40, 40), pad_value=9)(a)
+    assert (wide[15:25] == a).all() and (wide[:15] == 9).all() and (wide[25:] == 9).all() and st.Scale(0.01)(a).shape == (1, 1, 3)
     for k in range(4):
         assert (st.Rotate(90 * k)(a) == np.rot90(a, k)).all()
     assert (st.Rotate(360 - 30)(st.Rotate(30)(a)).shape[0]) > 10 and st.Rotate(30, expand=False)(a).shape == a.shape
     assert (st.Flip()(st.Flip()(a)) == a).all() and (st.Flip(False)(a) == a[::-1]).all()
-    assert st.CenterCrop((4, 6))(a).shape == (4, 6, 3) and (st.CenterCrop((4, 6))(a) == a[3:7, 17:23]).all()
+    assert st.CenterCrop((6, 4))(a).shape == (4, 6, 3) and (st.CenterCrop((6, 4))(a) == a[3:7, 17:23]).all() and st.CenterCrop(4)(a).shape == (4, 4, 3)
     with pytest.raises(ValueError, match="crop"):
-        st.CenterCrop((11, 1))(a)
+        st.CenterCrop((1, 11))(a)
+    for bad in (0, (3, -1), (1, 2, 3), (2.5, 2)):
+        with pytest.raises(ValueError, match="size"):
+            st.Resize(bad)
 
 
 def test_values():
@@ -68,11 +73,20 @@ def test_image_tables(spark, tmp_path):
     out = ImagePipeline([st.Flip()]).load_many(spark, str(tmp_path))
     rows = {r["path"].rsplit("/")[-1]: r for r in out.collect()}
     assert (from_row(rows["wide.png"]) == a[:, ::-1]).all() and rows["broken.png"]["data"] is None
-    assert write_images(out, f"file://{tmp_path}/out") == 2
+    assert write_images(out, f"file://{tmp_path}/out") == 2 and sorted(f.name for f in (tmp_path / "out").iterdir()) == ["gray.png", "wide.png"]
+    assert (read_image(spark, f"{tmp_path}/out/wide.png") == a[:, ::-1]).all()
+    with pytest.raises(ValueError, match="name"):
+        write_images(out.unionAll(out), f"file://{tmp_path}/twice")
+    paths = [f"{tmp_path}/{n}.png" for n in ("wide", "broken", "gray", "wide", "gray")]
+    ordered = list(ImagePipeline([st.Flip()]).load_in_order(spark, paths, chunk=2))
+    assert [r["path"].rsplit("/")[-1] for r in ordered] == ["wide.png", "broken.png", "gray.png", "wide.png", "gray.png"]
+    assert (from_row(ordered[3]) == a[:, ::-1]).all() and ordered[1]["error"]
     got = {r["path"].rsplit("/")[-1]: r for r in summarize_images(spark, f"{tmp_path}/*.png").collect()}
     assert (got["wide.png"]["width"], got["wide.png"]["height"], got["gray.png"]["channels"]) == (40, 10, 1) and not got["broken.png"]["readable"]
     assert got["gray.png"]["brightness"] == pytest.approx(g.mean()) and got["gray.png"]["contrast"] == pytest.approx(g.std())
     s = summarize_images(spark, f"{tmp_path}/*.png")
+    assert {r["feature"] for r in image_histograms(s, 4).collect()} == {"aspect", "brightness"}
+    assert image_histograms(s, 4).groupBy("feature").agg({"n": "sum"}).first()[1] == 2
     assert image_sizes(s).count() == 2 and tuple(image_totals(s).first()) == (3, 1, 1, 0)
 
 
@@ -84,7 +98,7 @@ def test_spaces():
     assert FloatDimension(1.0, np.e, log=True, n_points=3).values() == pytest.approx([0.0, 0.5, 1.0])
     space = HyperparameterSpace("regressor", {"max_depth": IntegerDimension(2, 3)}).with_defaults()
     assert space.with_defaults() == space and set(space.suggest(rng)) == set(space.value_spaces()) and "maxDepth" in space.dimensions
-    assert cv_windows(100, 10, 20, 3) == [(70, 10), (80, 10), (90, 10)] and weighted_score([1.0, 1.0, 1.0]) == 1.0
+    assert weighted_score([1.0, 1.0, 1.0]) == 1.0
     with pytest.raises(ValueError, match="kind"):
         HyperparameterSpace.default("x")
 
