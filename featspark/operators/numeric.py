@@ -140,9 +140,21 @@ class NumericFeatures:
         return (x - center) / F.lit(float(spread)) if c in (self.scales or {}) else x
 
 
-def learn_lambdas(df: DataFrame, columns: list[str], points: int = 11, passes: int = 7, reach: float = 5.0) -> dict[str, float]:
+#: Bytes of a table that a task reads about.
+TASK_BYTES = 128 << 20
+
+
+def _top(grid: list[float], fits: list[float], best: int) -> float:
+    """Where the parabola through a point of even steps and its neighbours is highest; the point at an end."""
+    if not 0 < best < len(grid) - 1 or not math.isfinite(fits[best - 1] + fits[best + 1]):
+        return grid[best]
+    bend = fits[best - 1] - 2 * fits[best] + fits[best + 1]
+    return grid[best] + (grid[best + 1] - grid[best]) * (fits[best - 1] - fits[best + 1]) / (2 * bend) if bend < 0 else grid[best]
+
+
+def learn_lambdas(df: DataFrame, columns: list[str], points: int = 11, passes: int = 4, reach: float = 5.0) -> dict[str, float]:
     """Maximum-likelihood Yeo-Johnson lambdas: a grid over [-reach, reach], then finer ones around the
-    best. One job a pass serves all columns: each value meets each grid point in the task that reads it,
+    best, then the top of the parabola through the last best and its neighbours. One job a pass serves all columns: each value meets each grid point in the task that reads it,
     and variances are summed by column and point. One value or hardly any range gives lambda 1."""
     base = _row(df, {f"{k}{i}": f for i, c in enumerate(columns) for k, f in
                      (("n", F.count(c)), ("a", F.min(c)), ("b", F.max(c)), ("j", F.sum(F.signum(c) * F.log1p(F.abs(c)))))})
@@ -153,8 +165,8 @@ def learn_lambdas(df: DataFrame, columns: list[str], points: int = 11, passes: i
             out[c] = 1.0
     df = df.select(*[F.col(f"`{c}`") for c in columns])
     tasks = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < tasks:  # a small file is one task, and each value is worth many logarithms
-        df = df.repartition(tasks)
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < tasks * TASK_BYTES:
+        df = df.repartition(tasks)  # a small table is few tasks, and each value is worth many logarithms
     todo = {i: (-reach, reach) for i, c in enumerate(columns) if c not in out}
     x, lam = F.col("x"), F.col("g.lam")
     up = F.when(F.abs(lam) < 1e-12, F.log1p(x)).otherwise((F.pow(x + 1, lam) - 1) / F.when(F.abs(lam) >= 1e-12, lam))
@@ -170,7 +182,8 @@ def learn_lambdas(df: DataFrame, columns: list[str], points: int = 11, passes: i
                 v = spread.get((i, k))
                 ok = v is not None and math.isfinite(v) and v > 0
                 return -base[f"n{i}"] / 2 * math.log(v) + (grid[k] - 1) * base[f"j{i}"] if ok else -math.inf
-            best = max(range(points), key=likely)
-            out[columns[i]] = grid[best]
+            fits = [likely(k) for k in range(points)]
+            best = max(range(points), key=fits.__getitem__)
+            out[columns[i]] = _top(grid, fits, best)
             todo[i] = (grid[max(best - 1, 0)], grid[min(best + 1, points - 1)])
     return out
