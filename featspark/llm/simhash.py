@@ -1,6 +1,7 @@
 """SimHash near-duplicates by a Gray-order hierarchical index.
 
-Distinct fingerprints are sorted by Gray rank and cut into blocks of equal size, however they cluster.
+Distinct fingerprints are ordered by Gray rank and cut into blocks of about equal size, however they
+cluster.
 A block's upper node keeps the bits that all its members share; a fingerprint visits the blocks from
 whose shared bits it differs by no more than the distance. In a block, nested groups of Gray
 neighbours keep their shared bits too, and a search drops a whole group as soon as the differences
@@ -13,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -157,8 +159,11 @@ def fingerprint_links(words: DataFrame, distance: int = 2, block: int = 1024, mo
     spark = words.sparkSession
     n = words.count()
     blocks = max(1, min(most_blocks, -(-n // block)))
-    placed = materialize(words.select("fp").repartitionByRange(blocks, gray_rank(F.col("fp")))
-                         .withColumn("block", F.spark_partition_id()), "gray-blocks")
+    ranked = words.select("fp", gray_rank(F.col("fp")).cast("double").alias("rank"))
+    cuts = ranked.agg(F.percentile_approx("rank", [k / blocks for k in range(1, blocks)], 10 * most_blocks)).first()[0] if blocks > 1 else []
+    splits = [-float("inf"), *sorted(set(cuts or [])), float("inf")]
+    number = Bucketizer(splits=splits, inputCol="rank", outputCol="block").transform(ranked) if len(splits) > 2 else ranked.withColumn("block", F.lit(0))
+    placed = materialize(number.select("fp", F.col("block").cast("int").alias("block")), "gray-blocks")
     tops = sorted(placed.groupBy("block").agg(F.bit_and("fp").alias("all"), F.bit_or("fp").alias("any")).collect(), key=lambda r: r["block"])
     numbers = np.array([r["block"] for r in tops], np.int32)
     every, some = (np.array([r[k] for r in tops], np.int64).view(np.uint64) for k in ("all", "any"))

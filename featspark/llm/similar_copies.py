@@ -24,7 +24,7 @@ from ._common import ascii_lower, materialize, unused
 from .components import connected_components
 from .simhash import fingerprint_links, fingerprints
 
-#: Shingles that a bucket holds about, up to 65,536 buckets, and bytes of text hashed at once.
+#: Shingles that a bucket holds about, up to four million buckets, and bytes of text hashed at once.
 BUCKET_TOKENS, CHUNK_BYTES = 1 << 21, 1 << 21
 #: Rounds that hold the rows of a shingle against some of them, and these in a round, before rows of different groups make pairs.
 STAR_ROUNDS, HEADS = 2, 8
@@ -131,7 +131,7 @@ def _least_shared(n: np.ndarray, similarity: float) -> np.ndarray:
 def sharing_rows(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The ``row`` of every text that shares enough of its shingles with other texts to have a near copy."""
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    bits = min(16, max(8, int(chars // 6 // BUCKET_TOKENS).bit_length()))
+    bits = min(22, max(8, int(chars // 6 // BUCKET_TOKENS).bit_length()))
     schema = "bucket int, batch long, tokens binary, places binary"
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +151,7 @@ def sharing_rows(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
         place = np.where(several, SEVERAL, owner).astype(np.uint16)[new]
         token = token[new]
         bucket = (token >> np.uint64(48 - bits)).astype(np.int64)
-        rest = (token >> np.uint64(48 - bits - 32)).astype(np.uint32)
+        rest = (token >> np.uint64(max(0, 16 - bits))).astype(np.uint32)
         name = int(ids[0])  # rows are unique, so the first one names the batch
         cuts, ends = _runs(bucket)
         info = np.stack([ids, n, here], 1).astype(np.int64).tobytes()

@@ -1,8 +1,11 @@
 import random
 
 import corpus_pipeline
+import pyarrow as pa
+from pyspark.sql import functions as F
 
-from featspark.llm.similar_copies import drop_near_copies
+from featspark.llm import similar_copies
+from featspark.llm.similar_copies import drop_near_copies, sharing_rows, shingle_tokens
 
 SHINGLE = 5
 
@@ -81,3 +84,43 @@ def test_rows_count_by_themselves(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((r["doc_id"] or -1, r["text"]) for r in drop_near_copies(docs).collect())
     assert got == sorted([(1, text), (2, "a clean text of its own"), (-1, "another clean text of its own")])
+
+
+def test_hashes_stand_for_shingles(monkeypatch):
+    rng = random.Random(9)
+    texts = [None, "", " a", "b c d e f g", "é É x  y", "A B C D E F G", "z" * 200, "a b c d e", "a\tb\x0bc\nd\re", "\x1c a", *[" ".join(rng.choice("abc") + str(rng.randrange(9)) for _ in range(rng.randrange(60))) for _ in range(60)]]
+    for chunk in (1 << 21, 50):
+        monkeypatch.setattr(similar_copies, "CHUNK_BYTES", chunk)
+        for column, rows in ((pa.array(texts), texts), (pa.array(texts).slice(3, 20), texts[3:23])):
+            got, names = {}, {}
+            for first, _, owner, token in shingle_tokens(column, SHINGLE):
+                for i, t in zip(owner.tolist(), token.tolist(), strict=True):
+                    got.setdefault(first + i, set()).add(t)
+            for i, text in enumerate(rows):
+                assert len(got[i]) == len(shingles(text))
+                names.setdefault(frozenset(shingles(text)), got[i])
+                assert names[frozenset(shingles(text))] == got[i]
+
+
+def test_texts_that_share_enough_are_all_found(spark, documents, awkward, no_docs):
+    for docs in (documents, awkward):
+        rows = docs.select(F.monotonically_increasing_id().alias("row"), "text")
+        rows = spark.createDataFrame(rows.collect(), "row long, text string")
+        sets = {r["row"]: shingles(r["text"]) for r in rows.collect()}
+        times = {}
+        for have in sets.values():
+            for x in have:
+                times[x] = times.get(x, 0) + 1
+        want = {r for r, have in sets.items() if 5 * sum(times[x] > 1 for x in have) >= 4 * len(have)}
+        assert {r["row"] for r in sharing_rows(rows, SHINGLE, 0.8).collect()} == want
+    assert sharing_rows(no_docs.select(F.lit(0).cast("long").alias("row"), "text"), SHINGLE, 0.8).count() == 0
+
+
+def test_a_large_group_makes_few_pairs(spark, monkeypatch):
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, edited(rng, base, rng.randrange(0, 6))) for i in range(300)]
+    pairs, plain = [], similar_copies._confirmed
+    monkeypatch.setattr(similar_copies, "_confirmed", lambda some, *rest: pairs.append(some.count()) or plain(some, *rest))
+    check(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sum(pairs) < 300 * 60
