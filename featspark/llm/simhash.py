@@ -1,7 +1,6 @@
 """SimHash near-duplicates by a Gray-order hierarchical index.
 
-Distinct fingerprints are ordered by Gray rank and cut into blocks of about equal size, however they
-cluster.
+Distinct fingerprints are cut by Gray rank into blocks of about equal size, however they cluster.
 A block's upper node keeps the bits that all its members share; a fingerprint visits the blocks from
 whose shared bits it differs by no more than the distance. In a block, nested groups of Gray
 neighbours keep their shared bits too, and a search drops a whole group as soon as the differences
