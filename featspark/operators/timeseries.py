@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.durations import SECONDS, Duration, approx_seconds, parse_duration
 from ..functions.exprs import micros, without_nulls
 from .holidays import holiday_calendar
-from .windows import DAY, STATS, asof_backward, ewm, range_lags, rolling
+from .windows import DAY, HOUR, STATS, asof_backward, ewm, range_lags, reach_of, rolling
 
 UNITS = {"yearly": "y", "monthly": "mo", "weekly": "w", "daily": "d", "hourly": "h", "minutely": "m", "secondly": "s"}
 
@@ -140,12 +140,12 @@ class TimeseriesFeatures:
     def _cutoff(self) -> Column:
         return F.col(self.ts) - self.horizon.interval() if self.horizon else F.col(self.ts)
 
-    def latest_available(self, df: DataFrame, known: DataFrame, values: Sequence[str], into: str = "_known") -> DataFrame:
+    def latest_available(self, df: DataFrame, known: DataFrame, values: Sequence[str], into: str = "_known", bucket: int | None = None) -> DataFrame:
         """``df`` with the latest row of ``known`` available at each time, as a struct with its time ``at``."""
-        return asof_backward(df, known, self._cutoff(), self.ts, values, into, self.keys, strict=self.horizon is None, bucket=self.bucket)
+        return asof_backward(df, known, self._cutoff(), self.ts, values, into, self.keys, strict=self.horizon is None, bucket=bucket or self.bucket)
 
-    def _attach(self, df: DataFrame, made: DataFrame, names: list[str], drop_ts: bool, drop_nulls: bool) -> DataFrame:
-        out = self.latest_available(df, made, names)
+    def _attach(self, df: DataFrame, made: DataFrame, names: list[str], drop_ts: bool, drop_nulls: bool, bucket: int | None = None) -> DataFrame:
+        out = self.latest_available(df, made, names, bucket=bucket)
         out = out.withColumns({n: F.col("_known")[n] for n in names}).drop("_known")
         return self._finish(out, drop_ts, drop_nulls)
 
@@ -157,7 +157,8 @@ class TimeseriesFeatures:
         if not parsed or not stats:
             return self._finish(df, drop_ts, drop_nulls)
         made = rolling(df, self.ts, self.val, parsed, stats, self.keys, self.bucket)
-        return self._attach(df, made, [f"roll_{s}_{w}" for w in windows for s in stats], drop_ts, drop_nulls)
+        held = max(HOUR, *map(reach_of, parsed.values()))  # a bucket of a window's rows, so that a dense series is cut finely
+        return self._attach(df, made, [f"roll_{s}_{w}" for w in windows for s in stats], drop_ts, drop_nulls, min(self.bucket, held))
 
     def ewm(self, df: DataFrame, half_lives: Sequence[str], drop_ts: bool = False, drop_nulls: bool = False) -> DataFrame:
         """``ewm_{half-life}``: the exponential mean at the latest available observation."""

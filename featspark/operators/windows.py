@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from ..functions.durations import Duration
 from ..functions.exprs import micros
 
-DAY = 86_400_000_000
+HOUR = 3_600_000_000
+DAY = 24 * HOUR
 
 
 def asof_backward(left: DataFrame, right: DataFrame, on: Column, right_on: str, values: Sequence[str], into: str,
@@ -67,25 +68,61 @@ STATS = ("mean", "std", "min", "max", "median")
 
 
 def rolling(series: DataFrame, ts: str, val: str, windows: dict[str, Duration], stats: Sequence[str], keys: Sequence[str] = (), bucket: int = 30 * DAY) -> DataFrame:
-    """``series`` keys, ts and ``roll_{stat}_{window}``: statistics over (t - w, t] at each row."""
-    df = series.select(*keys, ts, val, micros(F.col(ts)).alias("_us"))
+    """``series`` keys, ts and ``roll_{stat}_{window}``: statistics over (t - w, t] at each row.
+
+    Least and greatest values of fixed windows take time in proportion to the rows; the others to the rows
+    times those of a window.
+    """
+    if not all(map(reach_of, windows.values())):
+        raise ValueError("a window is longer than nothing")
+    out = series.select(*keys, ts, val, micros(F.col(ts)).alias("_us")).where("_us is not null")
+    ends = [s for s in stats if s in ("min", "max")]
+    framed = {name: [s for s in stats if not (w.fixed and s in ends)] for name, w in windows.items()}
+    if any(framed.values()):
+        out = _framed(out, ts, val, {name: windows[name] for name, of in framed.items() if of}, framed, keys, bucket)
+    for name, w in windows.items():
+        if ends and w.fixed:
+            out = _with_ends(out, val, w.micros, {f"roll_{s}_{name}": s for s in ends}, keys)
+    return out.select(*keys, ts, *[f"roll_{s}_{name}" for name in windows for s in stats])
+
+
+def _framed(df: DataFrame, ts: str, val: str, windows: dict[str, Duration], stats: dict[str, list[str]], keys: Sequence[str], bucket: int) -> DataFrame:
+    """``df`` with the statistics of each window over sliding frames."""
     reach = max(reach_of(w) for w in windows.values())
     spread, part = with_halo(df, "_us", reach, keys, bucket)
     own, held, after = [], {}, []
     for i, (name, w) in enumerate(windows.items()):
         if w.fixed:
             over = Window.partitionBy(*part).orderBy("_us").rangeBetween(-(w.micros - 1), 0)
-            made = {"mean": F.avg(val), "std": F.stddev_samp(val), "min": F.min(val), "max": F.max(val), "median": F.percentile(val, F.lit(0.5))}
-            own += [made[s].over(over).alias(f"roll_{s}_{name}") for s in stats]
+            made = {"mean": F.avg(val), "std": F.stddev_samp(val), "median": F.percentile(val, F.lit(0.5))}
+            own += [made[s].over(over).alias(f"roll_{s}_{name}") for s in stats[name]]
         else:  # frames of months are closed on the left: gather the longest, keep what is inside
             spread = spread.withColumn(f"_start{i}", micros(F.col(ts) - w.interval()))
             over = Window.partitionBy(*part).orderBy("_us").rangeBetween(-reach_of(w), 0)
             own += [F.collect_list(F.struct(F.col("_us").alias("t"), F.col(val).alias("v"))).over(over).alias(f"_held{i}"), F.col(f"_start{i}")]
             held[f"_held{i}"] = F.transform(F.filter(f"_held{i}", _after(F.col(f"_start{i}"))), lambda s: s["v"])
-            after += [(f"roll_{s}_{name}", s, f"_held{i}") for s in stats]
-    out = spread.select(*keys, ts, "_own", *own).where("_own").drop("_own").withColumns(held) if held else spread.select(*keys, ts, "_own", *own).where("_own").drop("_own")
+            after += [(f"roll_{s}_{name}", s, f"_held{i}") for s in stats[name]]
+    out = spread.select(*df.columns, "_own", *own).where("_own").drop("_own")
+    out = out.withColumns(held) if held else out
     out = out.withColumns({name: _of_array(s, F.col(c)) for name, s, c in after}) if after else out
-    return out.select(*keys, ts, *[f"roll_{s}_{name}" for name in windows for s in stats])
+    return out.select(*df.columns, *[f"roll_{s}_{name}" for name in windows for s in stats[name]])
+
+
+def _with_ends(df: DataFrame, val: str, width: int, made: dict[str, str], keys: Sequence[str]) -> DataFrame:
+    """``df`` with the least and greatest ``val`` of (t - width, t] at each row.
+
+    Time is cut into blocks of one width, so a window is the end of the block before and the start of the
+    row's own. Both are running values, of the block before from its last row back: no frame slides.
+    """
+    start = F.col("_us") - F.pmod("_us", F.lit(width))
+    both = df.withColumn("_own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("_b", F.when(F.col("_own"), start).otherwise(start + width))
+    both = both.withColumn("_from", F.when(F.col("_own"), F.col("_us") - (width - 1)).otherwise(F.col("_us")))
+    block = Window.partitionBy(*keys, "_b")
+    back = block.orderBy(F.desc("_from")).rangeBetween(Window.unboundedPreceding, 0)
+    on = block.orderBy("_us").rangeBetween(Window.unboundedPreceding, 0)
+    of = {"min": (F.min, F.least), "max": (F.max, F.greatest)}
+    ended = both.select("*", *[of[s][0](F.when(~F.col("_own"), F.col(val))).over(back).alias(f"_before_{s}") for s in made.values()]).where("_own")
+    return ended.select(*df.columns, *[of[s][1](of[s][0](val).over(on), F.col(f"_before_{s}")).alias(name) for name, s in made.items()])
 
 
 def _after(start: Column):

@@ -4,12 +4,15 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from featspark.functions.durations import parse_duration
 from featspark.functions.exprs import exact_sample
 from featspark.functions.quantiles import group_quantiles
 from featspark.operators import metrics, plotdata
 from featspark.operators.encoding import AggregationFeatures
 from featspark.operators.holidays import holidays_of
 from featspark.operators.numeric import _top
+from featspark.operators.timeseries import TimeseriesFeatures
+from featspark.operators.windows import rolling
 
 RNG = np.random.default_rng(8)
 
@@ -115,3 +118,33 @@ def test_sample_of_a_large_table(spark):
 def test_parabola():
     grid = [0.0, 0.1, 0.2]
     assert _top(grid, [-(x - 0.13) ** 2 for x in grid], 1) == pytest.approx(0.13) and _top(grid, [1.0, 0.0, 0.0], 0) == 0.0
+
+
+def test_ends_of_windows_slide_no_frame(spark):
+    """Frames that slide are read anew at each row: a dense series took time with the square of its rows."""
+    df = spark.range(60_000).selectExpr("timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, id / 100) AS ts", "cast((id * 7919) % 60000 AS double) AS val")
+    made = TimeseriesFeatures().rolling(df, ["3h"], ("min", "max"))
+    frames = [line for line in made._jdf.queryExecution().executedPlan().toString().splitlines() if "Window [" in line]
+    assert frames and all(line.count("specifiedwindowframe(") == line.count("Frame, unboundedpreceding") for line in frames)
+    last = made.orderBy(F.desc("ts")).first()
+    assert (last["roll_min_3h"], last["roll_max_3h"]) == (0.0, 59_999.0)
+
+
+def test_ends_of_windows_hold_what_sliding_frames_hold(spark):
+    """Ties, nulls, NaN, infinities, times before 1970 and at the edges of blocks, gaps of many blocks, several series."""
+    rng = np.random.default_rng(3)
+    odd = [None, float("nan"), float("inf"), -float("inf")]
+    rows = []
+    for i in range(1500):
+        step = int(rng.choice([-1, 0, 1, 2])) + 60_000_000 * int(rng.choice([-500_000, *range(-40, 40)]))
+        rows.append((None if i % 97 == 0 else step, [None, "a", "b"][i % 3], odd[i % 4] if i % 5 == 0 else float(rng.integers(-50, 50))))
+    df = spark.createDataFrame(rows, "us long, k string, val double").selectExpr("cast(timestamp_micros(us) as timestamp_ntz) AS ts", "k", "val", "us").cache()
+    windows = {"1s": 1, "1m": 60, "7m": 420, "2h": 7200}
+    for keys in ([], ["k"]):
+        made = rolling(df, "ts", "val", {w: parse_duration(w) for w in windows}, ("max", "mean", "min"), keys)
+        assert made.columns == [*keys, "ts", *[f"roll_{s}_{w}" for w in windows for s in ("max", "mean", "min")]]
+        over = ", ".join(f"{s}(val) OVER (PARTITION BY {', '.join(keys) or '1'} ORDER BY us RANGE BETWEEN {n * 1_000_000 - 1} PRECEDING AND CURRENT ROW) AS roll_{s}_{w}" for w, n in windows.items() for s in ("max", "min"))
+        want = spark.sql(f"SELECT {', '.join([*keys, 'ts'])}, {over} FROM {{df}} WHERE us IS NOT NULL", df=df)
+        assert made.count() == want.count() > 1400 and made.select(want.columns).exceptAll(want).count() == 0
+    with pytest.raises(ValueError, match="longer"):
+        rolling(df, "ts", "val", {"0h": parse_duration("0h")}, ("min",))
