@@ -13,6 +13,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -117,7 +118,8 @@ def plan_mix(docs: DataFrame, mix: Mix, budget: int | None, share: float = 1.0)
     totals = {tuple(r[k] for k in LEVELS): r["n"] for r in leaves}
     whole = int(sum(totals.values()) * Fraction(str(share))) if budget is None else budget
     rows = [(*leaf, *(divmod(given, totals[leaf]) if totals[leaf] else (0, 0)), given) for leaf, given in leaf_budgets(totals, whole, mix).items()]
-    plan = spark.createDataFrame(rows, "domain string, lang string, source string, epochs long, rest long, budget long")
+    schema = pa.schema([*((k, pa.string()) for k in LEVELS), *((k, pa.int64()) for k in ("epochs", "rest", "budget"))])
+    plan = spark.createDataFrame(pa.Table.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema))  # a list would start Python workers of another kind, which stay
     keyed = tokens.join(_small(plan.where("rest > 0"), len(rows)), list(LEVELS)).withColumn("key", order_key(mix))
     by_key = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     near = keyed.withColumn("base", F.lit(0).cast("long"))

@@ -20,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ascii_lower, materialize, unused
+from ._common import ascii_lower, give_back, materialize, unused
 from .components import connected_components
 from .simhash import fingerprint_links, fingerprints
 
-#: Shingles that a bucket holds about, up to four million buckets, and bytes of text hashed at once.
+#: Shingles that a bucket holds about, up to four million buckets, and bytes of text in a run of texts.
 BUCKET_TOKENS, CHUNK_BYTES = 1 << 21, 1 << 21
+#: Bytes of text hashed at once: each takes some 27 bytes of memory meanwhile.
+HASH_BYTES = 1 << 18
 #: Rounds that hold the rows of a shingle against some of them, and these in a round, before rows of different groups make pairs.
 STAR_ROUNDS, HEADS = 2, 8
 #: Bits of a text's parities: each shingle that one of two texts lacks turns one of them.
@@ -78,7 +80,7 @@ def _word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
     hashes = np.empty(len(begin), np.uint64)
     i = 0
     while i < len(begin):
-        j = max(i + 1, int(np.searchsorted(end, begin[i] + CHUNK_BYTES)))
+        j = max(i + 1, int(np.searchsorted(end, begin[i] + min(CHUNK_BYTES, HASH_BYTES))))
         base = int(begin[i])
         part = data[base:int(end[j - 1]) + 1]
         part = part + ((part - np.uint8(65) < 26).astype(np.uint8) << 5)
@@ -141,6 +143,7 @@ def sharing_rows(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
                 for at in range(0, many, SEVERAL):
                     inside = (owner >= at) & (owner < at + SEVERAL)
                     yield from pack(ids[base + at:base + min(many, at + SEVERAL)], owner[inside] - at, token[inside])
+        give_back()
 
     def pack(ids: np.ndarray, owner: np.ndarray, token: np.ndarray) -> Iterator[pa.RecordBatch]:
         key = np.unique((token >> np.uint64(16) << np.uint64(16)) | owner.astype(np.uint64))
@@ -216,6 +219,7 @@ def _firsts(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
                                                   pa.array([x.tobytes() for x in np.packbits(odd.astype(np.uint8), axis=1)], pa.binary())], ["row", "n", "token", "bits"])
                 yield pa.RecordBatch.from_arrays([pa.array(some[owner]), pa.array(n[owner].astype(np.int32)), pa.array(token.view(np.int64)),
                                                   pa.nulls(len(token), pa.binary())], ["row", "n", "token", "bits"])
+        give_back()
 
     both = materialize(texts.select("row", "text").mapInArrow(run, "row long, n int, token long, bits binary"), "tokens")
     tokens, bits = both.where("token is not null").select("row", "n", "token"), both.where("token is null").select("row", "bits")
@@ -295,6 +299,7 @@ def _meetings(similarity: float):
             held = [[c[cut:] for c in now]]
         if held:
             yield from pairs(*(np.concatenate(c) for c in zip(*held, strict=True)))
+        give_back()
 
     return run
 
@@ -312,6 +317,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: flo
                 shared = len(one & other)
                 near.append(shared >= similarity * (len(one) + len(other) - shared) - 1e-9)
             yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
+        give_back()
 
     return materialize(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "near-links")
 

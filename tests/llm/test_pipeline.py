@@ -60,3 +60,26 @@ def test_language_stage_keeps_rows_as_they_are(spark, documents, awkward, no_doc
     want = sorted(str(r) for r in awkward.collect() if (f := say(r["text"]))[0] != "und" and f[1] >= 0.002)
     assert sorted(map(str, keep_identified(awkward, model).collect())) == want and want
     assert keep_identified(no_docs, model).count() == 0 and keep_identified(awkward, fit_language_id(no_docs)).count() == 0
+
+
+def test_stages_leave_executors_little_to_hold(spark, documents, monkeypatch):
+    """Whole texts go to Python in small batches, whatever writes the stage; the mix starts no Python workers for its plan."""
+    first = corpus_pipeline.identify_language(spark, documents, SF)
+    assert "MapInArrow" not in first._jdf.queryExecution().toString() and first.count() > 0.9 * documents.count()
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", None)
+    assert corpus_pipeline.mix_sources(spark, first, SF).count() > 0
+
+
+def test_hashing_takes_little_memory():
+    import tracemalloc
+
+    import numpy as np
+    from featspark.llm.similar_copies import _word_hashes
+
+    data = np.frombuffer(b"seven77 " * (1 << 18), np.uint8)
+    tracemalloc.start()
+    hashes, text = _word_hashes(data, np.array([0, 1 << 20]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(set(hashes.tolist())) == 1 and text.tolist() == [0] * (1 << 17) + [1] * (1 << 17)
+    assert peak < 20 * len(data)
